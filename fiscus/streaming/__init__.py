@@ -1,0 +1,5 @@
+"""Intentionally empty: every question this package answers is a batch question.
+
+There is no event-time input, window or per-key state to keep between runs, so
+nothing here is worth a streaming query.
+"""
