@@ -108,8 +108,11 @@ def normalize_types(payers: DataFrame) -> DataFrame:
     })
 
 
-def user_records(payers: DataFrame) -> DataFrame:
-    """The user card of a payer. A head count of 0 is shown as 'none'."""
+def user_records(payers: DataFrame, *extra: str) -> DataFrame:
+    """The user card of a payer, and ``extra`` columns as they are.
+
+    A head count of 0 is shown as 'none'.
+    """
     return payers.select(
         F.col("taxpayer_id").alias("id"),
         F.col("full_name").alias("name"),
@@ -118,6 +121,7 @@ def user_records(payers: DataFrame) -> DataFrame:
         "has_employees",
         F.nullif(F.col("employees_count"), F.lit(0)).alias("employees_count"),
         F.struct(avatar_url(F.col("full_name")).alias("src")).alias("avatar"),
+        *extra,
     )
 
 
