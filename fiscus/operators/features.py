@@ -11,7 +11,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator, Transformer
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (
+    OneHotEncoder,
+    SQLTransformer,
+    StringIndexer,
+    StringIndexerModel,
+    VectorAssembler,
+)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,15 +140,15 @@ def feature_stages(
     not seen in training becomes all zeros.
     """
     if fills == "learned":
-        texts = mode_fills(train, categorical)
-        numbers = median_fills(train, numeric)
+        texts = mode_fills(train, categorical) if categorical else {}
+        numbers = median_fills(train, numeric) if numeric else {}
     elif fills == "constant":
         texts, numbers = {}, {}
     else:
         raise ValueError(f"unknown fills {fills!r}")
     numbers = {c: numbers.get(c, 0.0) for c in numeric}
     scales = {c: (0.0, 1.0) for c in numeric}
-    if scaled:
+    if scaled and numeric:
         scales = scale_of(fill_doubles(train, numbers), numeric)
     parts = [
         f"coalesce(cast({c} as string), {_sql_text(texts.get(c, 'Unknown'))}) as {c}_text"
@@ -153,8 +159,7 @@ def feature_stages(
         f" / {scales[c][1]!r}D as {c}_number"
         for c in numeric
     ]
-    return [
-        SQLTransformer(statement=f"select *, {', '.join(parts)} from __THIS__"),
+    encode = [
         StringIndexer(
             inputCols=[f"{c}_text" for c in categorical],
             outputCols=[f"{c}_index" for c in categorical],
@@ -166,6 +171,10 @@ def feature_stages(
             outputCols=[f"{c}_flags" for c in categorical],
             dropLast=True,
         ),
+    ]
+    return [
+        SQLTransformer(statement=f"select *, {', '.join(parts)} from __THIS__"),
+        *(encode if categorical else []),
         VectorAssembler(
             inputCols=[*[f"{c}_number" for c in numeric], *[f"{c}_flags" for c in categorical]],
             outputCol=FEATURES,
@@ -179,8 +188,9 @@ def feature_names(
     numeric: Sequence[str] = NUMERIC,
 ) -> list[str]:
     """Name of each position of the ``features`` vector of a fitted pipeline."""
-    indexer = next(s for s in model.stages if s.uid.startswith("StringIndexer"))
+    indexers = [s for s in model.stages if isinstance(s, StringIndexerModel)]
+    seen = indexers[0].labelsArray if indexers else []
     return [
         *numeric,
-        *[f"{c}_{label}" for c, labels in zip(categorical, indexer.labelsArray) for label in labels],
+        *[f"{c}_{label}" for c, labels in zip(categorical, seen) for label in labels],
     ]

@@ -108,8 +108,8 @@ def _middle_ranks():
 
 def _narrow(long: DataFrame, brackets: DataFrame, group: list[str]) -> DataFrame:
     first, second = _middle_ranks()
-    low_step = F.floor((first - F.col("below")) / F.col("inside") * GRID) - 1
-    high_step = F.ceil((second - F.col("below")) / F.col("inside") * GRID) + 1
+    low_step = F.floor(F.try_divide(first - F.col("below"), F.col("inside")) * GRID) - 1
+    high_step = F.ceil(F.try_divide(second - F.col("below"), F.col("inside")) * GRID) + 1
     proposed = brackets.select(
         *group, "n", "lo", "hi", "grid", "below", "inside", "variety",
         F.element_at("grid", F.greatest(low_step, F.lit(0)).cast("int") + 1).alias("new_lo"),

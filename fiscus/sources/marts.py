@@ -34,7 +34,8 @@ MEDIAN_KEYS = ("yr", "mon", "tax_type")
 def open_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The stored rows, or no rows when nothing has been stored yet."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        # A partition column is read last; put the columns back in their declared order.
+        return spark.read.schema(schema).parquet(path).select(*schema.names)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
