@@ -11,6 +11,7 @@ from fiscus.functions.scalars import percent_of
 from fiscus.operators.filters import equals, where_all
 from fiscus.operators.medians import exact_median
 from fiscus.schemas import MEASURES
+from fiscus.session import materialize
 
 SUMMABLE = ("income", "tax", "transactions")
 
@@ -25,21 +26,30 @@ def totals(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def aggregate(
-    df: DataFrame, keys: Sequence[str], mode: str = "sum", bounded_by_key: bool = False
+    df: DataFrame,
+    keys: Sequence[str],
+    mode: str = "sum",
+    bounded_by_key: bool = False,
+    stored: bool = False,
 ) -> DataFrame:
+    """Sum or median of the measures; the last two options are those of ``exact_median``."""
     if mode == "sum":
         return totals(df, keys)
     if mode == "median":
-        return exact_median(df, keys, MEASURES, bounded_by_key=bounded_by_key)
+        return exact_median(df, keys, MEASURES, bounded_by_key=bounded_by_key, stored=stored)
     raise ValueError(f"mode must be 'sum' or 'median', not {mode!r}")
 
 
-def yearly(df: DataFrame, mode: str = "sum", by: Sequence[str] = ()) -> DataFrame:
-    return aggregate(df, [*by, "yr"], mode)
+def yearly(
+    df: DataFrame, mode: str = "sum", by: Sequence[str] = (), stored: bool = False
+) -> DataFrame:
+    return aggregate(df, [*by, "yr"], mode, stored=stored)
 
 
-def monthly(df: DataFrame, mode: str = "sum", by: Sequence[str] = ()) -> DataFrame:
-    return aggregate(df, [*by, "yr", "mon"], mode)
+def monthly(
+    df: DataFrame, mode: str = "sum", by: Sequence[str] = (), stored: bool = False
+) -> DataFrame:
+    return aggregate(df, [*by, "yr", "mon"], mode, stored=stored)
 
 
 def yearly_by_payer(history: DataFrame, mode: str = "sum") -> DataFrame:
@@ -48,7 +58,10 @@ def yearly_by_payer(history: DataFrame, mode: str = "sum") -> DataFrame:
 
 
 def by_type_with_total(
-    facts: DataFrame, mode: str = "sum", keys: Sequence[str] = ("yr",)
+    facts: DataFrame,
+    mode: str = "sum",
+    keys: Sequence[str] = ("yr",),
+    stored: bool = False,
 ) -> DataFrame:
     """Per regime, plus a row with a null regime for all of them together.
 
@@ -71,11 +84,13 @@ def by_type_with_total(
             .where((F.col("is_total") == 1) | F.col("tax_type").isNotNull())
             .drop("is_total")
         )
+    if not stored:
+        facts = materialize(facts.select(*keys, "tax_type", *MEASURES), "median-input")
     counted_in = F.when(
         F.col("tax_type").isNotNull(), F.array(F.col("tax_type"), F.lit(None))
     ).otherwise(F.array(F.lit(None).cast("string")))
     unfolded = facts.select(*keys, *MEASURES, F.explode(counted_in).alias("tax_type"))
-    return aggregate(unfolded, [*keys, "tax_type"], mode)
+    return aggregate(unfolded, [*keys, "tax_type"], mode, stored=True)
 
 
 def growth(
@@ -109,14 +124,32 @@ def real_over_predicted(real: DataFrame, predicted: DataFrame, keys: Sequence[st
     )
 
 
-def yearly_growth(real: DataFrame, predicted: DataFrame, mode: str = "sum") -> DataFrame:
-    """Yearly figures with growth, for each regime and for all of them (null regime)."""
-    return growth(
-        real_over_predicted(
-            by_type_with_total(real, mode), by_type_with_total(predicted, mode), ["yr", "tax_type"]
-        ),
-        by=["tax_type"],
-    )
+def pooled(real: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Recorded (``source`` 0) and predicted (``source`` 1) rows, all amounts in cents."""
+    columns = ["yr", "mon", "tax_type", *MEASURES]
+
+    def amounts(df: DataFrame, source: int) -> DataFrame:
+        return df.select(*columns).withColumns({
+            "income": F.col("income").cast("decimal(18,2)"),
+            "tax": F.col("tax").cast("decimal(18,2)"),
+            "source": F.lit(source),
+        })
+
+    return amounts(real, 0).unionByName(amounts(predicted, 1))
+
+
+def yearly_growth(
+    real: DataFrame, predicted: DataFrame, mode: str = "sum", stored: bool = False
+) -> DataFrame:
+    """Yearly figures with growth, for each regime and for all of them (null regime).
+
+    Both sources are aggregated in the same pass, each on its own; where a year is in both,
+    the recorded figures count.
+    """
+    keys = ["yr", "tax_type"]
+    both = by_type_with_total(pooled(real, predicted), mode, ["source", "yr"], stored)
+    first = F.min_by(F.struct(*MEASURES), "source").alias("row")
+    return growth(both.groupBy(*keys).agg(first).select(*keys, "row.*"), by=["tax_type"])
 
 
 def payer_count(payers: DataFrame, taxpayer_type: str | None = None) -> DataFrame:
@@ -167,9 +200,9 @@ def payer_year_summary(
     )
 
 
-def month_profile(predictions: DataFrame, mode: str = "sum") -> DataFrame:
+def month_profile(predictions: DataFrame, mode: str = "sum", stored: bool = False) -> DataFrame:
     """Predictions by calendar month, over all predicted years."""
-    return aggregate(predictions, ["mon"], mode)
+    return aggregate(predictions, ["mon"], mode, stored=stored)
 
 
 def distinct_payers(facts_of_payers: DataFrame) -> DataFrame:

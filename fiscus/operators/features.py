@@ -132,12 +132,15 @@ def feature_stages(
     numeric: Sequence[str] = NUMERIC,
     fills: str = "learned",
     scaled: bool = False,
+    flags: bool = True,
 ) -> list[Estimator | Transformer]:
     """Pipeline stages from raw columns to one ``features`` vector.
 
     ``fills='learned'`` puts the most frequent category and the median in place of nulls,
     ``fills='constant'`` puts 'Unknown' and 0. Categories become 0/1 columns; one that was
-    not seen in training becomes all zeros.
+    not seen in training becomes all zeros. Trees split on whole categories, so for them
+    ``flags=False`` leaves each category as one numbered column, in which everything unseen
+    shares a number: far fewer columns to scan per split.
     """
     if fills == "learned":
         texts = mode_fills(train, categorical) if categorical else {}
@@ -159,24 +162,26 @@ def feature_stages(
         f" / {scales[c][1]!r}D as {c}_number"
         for c in numeric
     ]
-    encode = [
+    encode = [] if not categorical else [
         StringIndexer(
             inputCols=[f"{c}_text" for c in categorical],
             outputCols=[f"{c}_index" for c in categorical],
             handleInvalid="keep",
             stringOrderType="alphabetAsc",
         ),
-        OneHotEncoder(
+    ]
+    if categorical and flags:
+        encode.append(OneHotEncoder(
             inputCols=[f"{c}_index" for c in categorical],
             outputCols=[f"{c}_flags" for c in categorical],
             dropLast=True,
-        ),
-    ]
+        ))
+    kind = "flags" if flags else "index"
     return [
         SQLTransformer(statement=f"select *, {', '.join(parts)} from __THIS__"),
-        *(encode if categorical else []),
+        *encode,
         VectorAssembler(
-            inputCols=[*[f"{c}_number" for c in numeric], *[f"{c}_flags" for c in categorical]],
+            inputCols=[*[f"{c}_number" for c in numeric], *[f"{c}_{kind}" for c in categorical]],
             outputCol=FEATURES,
         ),
     ]

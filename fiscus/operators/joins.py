@@ -110,5 +110,8 @@ def payer_history(
         ids = payers.agg(F.min("taxpayer_id").alias("lo"), F.max("taxpayer_id").alias("hi"))
         facts = facts.where(F.col("taxpayer_id") >= ids.select("lo").scalar())
         facts = facts.where(F.col("taxpayer_id") <= ids.select("hi").scalar())
-    recorded = facts.join(payers.select("taxpayer_id", "inn"), "taxpayer_id").select(*measures)
-    return recorded.unionByName(predictions.select(*measures))
+    recorded = facts.join(payers.select("taxpayer_id", "inn"), "taxpayer_id")
+    amounts = {c: F.col(c).cast("decimal(18,2)") for c in ("income", "tax")}
+    return recorded.select(*measures).withColumns(amounts).unionByName(
+        predictions.select(*measures).withColumns(amounts)
+    )

@@ -34,14 +34,21 @@ def exact_median(
     measures: Sequence[str],
     group_limit: int = GROUP_LIMIT,
     bounded_by_key: bool = False,
+    stored: bool = False,
 ) -> DataFrame:
     """Median of each measure per group, nulls ignored, the middle two averaged.
 
     ``bounded_by_key`` says the keys themselves bound a group (a payer and a year hold at
-    most twelve months of a few regimes), which makes the size check needless.
+    most twelve months of a few regimes), which makes the size check needless. Otherwise
+    ``df`` is scanned more than once: ``stored`` says that it is a plain table, where a scan
+    is all it costs; a derived frame is worked out once and its columns in use are stored.
     """
     keys = list(keys)
-    if bounded_by_key or _largest_group(df, keys) <= group_limit:
+    if bounded_by_key:
+        return builtin_median(df, keys, measures)
+    if not stored:
+        df = materialize(df.select(*keys, *measures), "median-input")
+    if _largest_group(df, keys) <= group_limit:
         return builtin_median(df, keys, measures)
     return bracketed_median(df, keys, measures, group_limit)
 
@@ -65,7 +72,7 @@ def bracketed_median(
     measures: Sequence[str],
     group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
-    """``exact_median`` by bracketing; see the module text."""
+    """``exact_median`` by bracketing, on a stored table; see the module text."""
     keys = list(keys)
     group = [*keys, "measure"]
     values = F.explode(F.array(*[
@@ -73,8 +80,6 @@ def bracketed_median(
         for m in measures
     ]))
     long = df.select(*keys, values.alias("mv")).select(*keys, "mv.measure", "mv.v")
-    # Several scans follow; write the narrow columns once so none repeats the work above.
-    long = materialize(long, "median-values")
 
     brackets = materialize(
         long.groupBy(*group)

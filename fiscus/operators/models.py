@@ -59,7 +59,7 @@ def training_input(
         })
     names = [*FACT_KEY, *[c for c in (*CATEGORICAL, *NUMERIC) if c not in (*FACT_KEY, "season")]]
     economy = list(ECON) if econ is not None else []
-    return materialize(
+    stored = materialize(
         rows.select(
             *names,
             season(F.col("mon")).alias("season"),
@@ -68,11 +68,22 @@ def training_input(
         ),
         "training",
     )
+    # Training is bound by computing, so a table in fewer pieces than there are cores, which
+    # is a small one, is spread over all of them.
+    cores = stored.sparkSession.sparkContext.defaultParallelism
+    if stored.rdd.getNumPartitions() < cores:
+        stored = materialize(stored.repartition(cores, *FACT_KEY), "training")
+    return stored
 
 
 def boosted_trees(
-    label: str, trees: int = TREES, depth: int = TREE_DEPTH, rate: float = LEARNING_RATE
+    label: str,
+    trees: int = TREES,
+    depth: int = TREE_DEPTH,
+    rate: float = LEARNING_RATE,
+    max_bins: int = 64,
 ) -> GBTRegressor:
+    """``max_bins`` must be at least the number of values of the widest category."""
     return GBTRegressor(
         featuresCol=FEATURES,
         labelCol=label,
@@ -80,6 +91,7 @@ def boosted_trees(
         lossType="squared",
         maxIter=trees,
         maxDepth=depth,
+        maxBins=max_bins,
         stepSize=rate,
         seed=SEED,
     )
@@ -135,7 +147,7 @@ def fit_targets(
 
 def fit_forecast(train: DataFrame, trees: int = TREES) -> PipelineModel:
     """Boosted trees for income, transactions and tax."""
-    return fit_targets(train, [boosted_trees(m, trees) for m in MEASURES])
+    return fit_targets(train, [boosted_trees(m, trees) for m in MEASURES], flags=False)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -31,15 +31,20 @@ GROWTH_KEYS = ("yr", "tax_type")
 MEDIAN_KEYS = ("yr", "mon", "tax_type")
 
 
-def open_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The stored rows, or no rows when nothing has been stored yet."""
+def stored_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """The stored rows, or None when nothing has been stored yet."""
     try:
         # A partition column is read last; put the columns back in their declared order.
         return spark.read.schema(schema).parquet(path).select(*schema.names)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return None
+
+
+def open_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    rows = stored_rows(spark, path, schema)
+    return spark.createDataFrame([], schema) if rows is None else rows
 
 
 def merge_absent(
@@ -50,7 +55,9 @@ def merge_absent(
     One anti-join replaces a look-up per row. Stored rows are never changed.
     """
     spark = rows.sparkSession
-    new = rows_absent_from(align_schema(rows, schema), open_table(spark, path, schema), keys)
+    new, present = align_schema(rows, schema), stored_rows(spark, path, schema)
+    if present is not None:
+        new = rows_absent_from(new, present, keys)
     new.write.mode("append").parquet(path)
     return open_table(spark, path, schema)
 
@@ -70,9 +77,7 @@ def yearly_growth_rows(real: DataFrame, predicted: DataFrame, mode: str) -> Data
 
 def monthly_median_rows(real: DataFrame, predicted: DataFrame) -> DataFrame:
     """Monthly medians over recorded and predicted rows pooled together."""
-    names = ["yr", "mon", "tax_type", *MEASURES]
-    pooled = real.select(*names).unionByName(predicted.select(*names))
-    medians = A.by_type_with_total(pooled, "median", ["yr", "mon"])
+    medians = A.by_type_with_total(A.pooled(real, predicted), "median", ["yr", "mon"])
     back = {name: stored for stored, name in MEDIAN_MART.items()}
     return medians.withColumnsRenamed(back).withColumn("created_at", F.current_timestamp())
 
@@ -97,9 +102,11 @@ def summary_or_fill(
     def look(mart: DataFrame) -> DataFrame:
         return summary_rows(mart, tax_type, start_year, end_year, by_month)
 
-    found = look(open_table(spark, path, schema))
-    if not found.isEmpty():
-        return found
+    mart = stored_rows(spark, path, schema)
+    if mart is not None:
+        found = look(mart)
+        if not found.isEmpty():
+            return found
     return look(merge_absent(rows(), path, schema, keys))
 
 

@@ -89,6 +89,16 @@ def _jan_first(year: int) -> Column:
     return F.lit(f"{year}-01-01 00:00:00").cast("timestamp_ntz")
 
 
+def _cents(name: str) -> Column:
+    """Hundredths of an amount or rate that has two decimals, as a whole number."""
+    return F.rint(F.col(name) * 100).cast("long")
+
+
+def _money(cents: Column) -> Column:
+    """Whole cents as decimal(18,2); eighteen digits keep the product in a machine word."""
+    return cents.cast("decimal(15,0)") * F.lit(0.01).cast("decimal(2,2)")
+
+
 class Warehouse:
     """Lazy logical tables; nothing runs until a query over them does."""
 
@@ -129,20 +139,32 @@ class Warehouse:
         Lines are added up per order before the join: that shrinks what is shuffled,
         leaves one row for an order however many lines it has, and its hashing on the
         order key is the one the join needs. The years become a range on the order date,
-        which the Parquet scan can use.
+        which the Parquet scan can use. Line amounts are rounded half up to cents in whole
+        numbers, several times cheaper than decimals and just as exact.
         """
-        price = F.col("l_extendedprice").cast("decimal(18,2)")
-        net = price * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))
-        tax = net * F.col("l_tax").cast("decimal(4,2)")
         orders = self.base("orders")
         if start_year is not None:
             orders = orders.where(F.col("o_orderdate") >= _jan_first(start_year))
         if end_year is not None:
             orders = orders.where(F.col("o_orderdate") < _jan_first(end_year + 1))
-        per_order = self.base("lineitem").groupBy("l_orderkey").agg(
-            F.sum(F.round(net, 2)).cast("decimal(18,2)").alias("income"),
-            F.sum(F.round(tax, 2)).cast("decimal(18,2)").alias("tax"),
-            F.count(F.lit(1)).alias("transactions"),
+        per_order = (
+            self.base("lineitem")
+            .select(
+                "l_orderkey",
+                (_cents("l_extendedprice") * (100 - _cents("l_discount"))).alias("net"),
+                _cents("l_tax").alias("tax"),
+            )
+            .selectExpr(
+                "l_orderkey",
+                "(net + cast(signum(net) as bigint) * 50) div 100 as income",
+                "(net * tax + cast(signum(net * tax) as bigint) * 5000) div 10000 as tax",
+            )
+            .groupBy("l_orderkey")
+            .agg(
+                F.sum("income").alias("income"),
+                F.sum("tax").alias("tax"),
+                F.count(F.lit(1)).alias("transactions"),
+            )
         )
         return (
             orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
@@ -153,8 +175,8 @@ class Warehouse:
                 F.col("o_orderpriority").alias("tax_type"),
             )
             .agg(
-                F.sum("income").cast("decimal(18,2)").alias("income"),
-                F.sum("tax").cast("decimal(18,2)").alias("tax"),
+                _money(F.sum("income")).alias("income"),
+                _money(F.sum("tax")).alias("tax"),
                 F.sum("transactions").alias("transactions"),
             )
         )
