@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import SQLTransformer
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,17 +110,16 @@ def linear(label: str, prediction: str | None = None) -> LinearRegression:
     )
 
 
-def ridge_strength(train: DataFrame, label: str, share: float = 1.0) -> float:
+def ridge_strength(train: DataFrame, label: str) -> float:
     """What to multiply a ridge alpha by to get MLlib's ``regParam``.
 
     MLlib averages the squared errors and scales the label, so a penalty ``alpha`` on the
-    sum of squares is ``alpha * deviation / n``. ``share`` is the part of ``train`` that a
-    single fit sees.
+    sum of squares is ``alpha * deviation / n``.
     """
     row = train.agg(
         F.stddev_pop(label).alias("dev"), F.count(label).alias("n")
     ).first()
-    return (row["dev"] or 1.0) / (row["n"] * share)
+    return (row["dev"] or 1.0) / row["n"]
 
 
 def ridge(label: str, reg_param: float) -> LinearRegression:
@@ -174,35 +174,56 @@ def search_ridge(
     alphas: Sequence[float] = ALPHAS,
     folds: int = FOLDS,
     label: str = "transactions",
-    parallelism: int = 4,
 ) -> DataFrame:
     """Mean R2 over the folds for each alpha, with the best one marked.
 
-    Folds come from a hash of the row key, so they do not depend on how rows are spread.
+    All a ridge fit needs of its rows is the matrix of products of the columns, and
+    these matrices add up: one per fold, gathered by Spark in a single pass, answers for
+    every alpha and every choice of held-out fold. What remains is solving systems as wide
+    as the feature vector. Folds come from a hash of the row key, so they do not depend on
+    how rows are spread.
     """
     numeric = ridge_inputs(train)
-    prepared = Pipeline(stages=feature_stages(train, numeric=numeric, scaled=True)).fit(train)
-    strength = ridge_strength(train, label, share=(folds - 1) / folds)
-    rows = with_fold(prepared.transform(train), folds).select(FEATURES, label, "fold")
-    estimator = ridge(label, 0.0)
-    grid = ParamGridBuilder().addGrid(estimator.regParam, [a * strength for a in alphas]).build()
-    search = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=grid,
-        evaluator=RegressionEvaluator(
-            labelCol=label, predictionCol=f"predicted_{label}", metricName="r2"
-        ),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-    ).fit(rows)
-    best = max(range(len(alphas)), key=lambda i: search.avgMetrics[i])
+    prepared = Pipeline(stages=[
+        *feature_stages(train, numeric=numeric, scaled=True),
+        SQLTransformer(statement="select *, 1.0D as one from __THIS__"),
+        VectorAssembler(inputCols=[FEATURES, label, "one"], outputCol="row"),
+    ]).fit(train)
+    rows = with_fold(prepared.transform(train.where(F.col(label).isNotNull())), folds)
+    rows = rows.select("row", "fold")
+    products = [_products(rows.where(F.col("fold") == k)) for k in range(folds)]
+    everything = sum(products)
+    scores = [
+        float(np.mean([_held_out_r2(everything - p, p, alpha) for p in products]))
+        for alpha in alphas
+    ]
+    best = int(np.argmax(scores))
     return train.sparkSession.createDataFrame(
-        [(float(a), float(r2), i == best) for i, (a, r2) in enumerate(zip(alphas, search.avgMetrics))],
+        [(float(a), r2, i == best) for i, (a, r2) in enumerate(zip(alphas, scores))],
         "alpha double, mean_r2 double, best boolean",
     )
 
 
+def _products(rows: DataFrame) -> np.ndarray:
+    """Sum of the outer products of the ``row`` vectors (features, label, 1)."""
+    plain = MLUtils.convertVectorColumnsFromML(rows.select("row"), "row")
+    return RowMatrix(plain).computeGramianMatrix().toArray()
+
+
+def _held_out_r2(fitted_on: np.ndarray, held_out: np.ndarray, alpha: float) -> float:
+    """R2 on ``held_out`` of the ridge line through ``fitted_on``; no penalty on the level."""
+    n, sums = fitted_on[-1, -1], fitted_on[-1, :-1]
+    centred = fitted_on[:-1, :-1] - np.outer(sums, sums) / n
+    width = len(sums) - 1
+    slope = np.linalg.solve(centred[:-1, :-1] + alpha * np.eye(width), centred[:-1, -1])
+    level = (sums[-1] - sums[:-1] @ slope) / n
+    # Residual = label - slope * features - level, as weights of the stored columns.
+    weights = np.concatenate([-slope, [1.0, -level]])
+    residual = weights @ held_out @ weights
+    spread = held_out[-2, -2] - held_out[-1, -2] ** 2 / held_out[-1, -1]
+    return 1.0 - residual / spread
+
+
 def coefficients(
     model: PipelineModel, spark, numeric: Sequence[str], categorical: Sequence[str] = CATEGORICAL
 ) -> DataFrame:

@@ -6,6 +6,8 @@ questions next to them check everything about a forecast that SQL can say.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -29,14 +31,16 @@ FEW_TREES = 5
 ONE_INN = "100000000007"
 
 _FITTED: dict[tuple[str, str, str], object] = {}
+_FITTING = threading.RLock()
 
 
 def fitted(db: Warehouse, name: str, make):
     """Fit once per session and input folder; several questions score the same model."""
     key = (db.spark.sparkContext.applicationId, db.folder, name)
-    if key not in _FITTED:
-        _FITTED[key] = make()
-    return _FITTED[key]
+    with _FITTING:
+        if key not in _FITTED:
+            _FITTED[key] = make()
+        return _FITTED[key]
 
 
 def training(db: Warehouse) -> DataFrame:

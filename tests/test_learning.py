@@ -136,6 +136,24 @@ def test_ridge_search(train):
     assert best["alpha"] != 100000.0
 
 
+def test_ridge_search_equals_fitting_each_fold(train):
+    alphas, folds = (0.5, 20.0), 3
+    found = {r["alpha"]: r["mean_r2"] for r in M.search_ridge(train, alphas, folds).collect()}
+    fitted = Pipeline(stages=X.feature_stages(train, numeric=M.ridge_inputs(train), scaled=True)).fit(train)
+    rows = X.with_fold(fitted.transform(train), folds).select(X.FEATURES, "transactions", "fold").collect()
+    x, y = np.array([r[0].toArray() for r in rows]), np.array([r[1] for r in rows])
+    fold = np.array([r[2] for r in rows])
+    for alpha in alphas:
+        scores = []
+        for k in range(folds):
+            a, b = fold != k, fold == k
+            xc, yc = x[a] - x[a].mean(0), y[a] - y[a].mean()
+            beta = np.linalg.solve(xc.T @ xc + alpha * np.eye(x.shape[1]), xc.T @ yc)
+            guess = (x[b] - x[a].mean(0)) @ beta + y[a].mean()
+            scores.append(1 - ((y[b] - guess) ** 2).sum() / ((y[b] - y[b].mean()) ** 2).sum())
+        assert found[alpha] == pytest.approx(np.mean(scores), abs=1e-9)
+
+
 def test_coefficients_are_ranked_by_size(spark):
     table = spark.createDataFrame([("a", 1.0), ("b", -3.0), ("c", 2.0)], "feature string, coefficient double")
     assert [r["feature"] for r in M.strongest_first(table, ["a", "b", "c"]).collect()] == ["b", "c", "a"]

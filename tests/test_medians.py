@@ -27,7 +27,7 @@ def values(spark):
     return spark.createDataFrame(data, "k string, g int, a double, b double").repartition(7)
 
 
-@pytest.mark.parametrize("limit", [1, 20, 1000, 10**6])
+@pytest.mark.parametrize("limit", [20, 10**6])
 def test_bracketing_equals_the_built_in_median(values, limit):
     keys = ["k", "g"]
     expected = rows(builtin_median(values, keys, ["a", "b"]), keys)
@@ -40,6 +40,7 @@ def test_a_bad_sketch_cannot_change_the_result(values, monkeypatch):
         medians, "_sketch",
         lambda v: F.array(*[F.max(v) for _ in range(medians.GRID + 1)]).alias("grid"),
     )
+    monkeypatch.setattr(medians, "MAX_PASSES", 2)
     expected = rows(builtin_median(values, ["k"], ["a", "b"]), ["k"])
     assert rows(bracketed_median(values, ["k"], ["a", "b"], 5), ["k"]) == expected
 
