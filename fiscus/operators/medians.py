@@ -1,11 +1,11 @@
 """Exact medians for groups of any size.
 
 Spark's own ``median`` keeps a value -> count map of a whole group in one task. That is the
-best plan while the largest group is known to fit, and a lost cause when one group holds a
-third of a huge table. ``exact_median`` looks at the largest group first:
+best plan while the groups are known to fit, and a lost cause when one group holds a third
+of a huge table. ``exact_median`` counts first:
 
-* it fits: the built-in aggregate;
-* it does not: narrow a bracket around the middle rank. Each pass is one scan in which a
+* every group is small, or the whole table is: the built-in aggregate;
+* otherwise: narrow a bracket around the middle rank. Each pass is one scan in which a
   quantile sketch (fixed size, merged on the map side) proposes a tighter bracket and plain
   counts prove whether the middle rank lies inside. When few distinct values are left in
   every bracket, they are counted and ranked exactly. No pass shuffles the rows; the result
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from fiscus.session import materialize
 
-# Values a single task may hold for one group.
-GROUP_LIMIT = 1_000_000
+# Rows of one group a task may hold, while it may be holding many groups.
+GROUP_LIMIT = 100_000
+# Rows of a table so small that one task could hold all of it.
+SMALL_TABLE = 2_000_000
 SKETCH_ACCURACY = 10_000
 GRID = 500
 MAX_PASSES = 8
@@ -48,7 +50,8 @@ def exact_median(
         return builtin_median(df, keys, measures)
     if not stored:
         df = materialize(df.select(*keys, *measures), "median-input")
-    if _largest_group(df, keys) <= group_limit:
+    largest, total = _sizes(df, keys)
+    if largest <= group_limit or total <= SMALL_TABLE:
         return builtin_median(df, keys, measures)
     return bracketed_median(df, keys, measures, group_limit)
 
@@ -59,11 +62,14 @@ def builtin_median(df: DataFrame, keys: Sequence[str], measures: Sequence[str])
     )
 
 
-def _largest_group(df: DataFrame, keys: list[str]) -> int:
+def _sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Rows of the largest group and of all groups."""
     if not keys:
-        return df.count()
+        n = df.count()
+        return n, n
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+    largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    return largest or 0, total or 0
 
 
 def bracketed_median(

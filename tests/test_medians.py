@@ -45,7 +45,8 @@ def test_a_bad_sketch_cannot_change_the_result(values, monkeypatch):
     assert rows(bracketed_median(values, ["k"], ["a", "b"], 5), ["k"]) == expected
 
 
-def test_whole_table_as_one_group(spark):
+def test_whole_table_as_one_group(spark, monkeypatch):
+    monkeypatch.setattr(medians, "SMALL_TABLE", 0)
     data = [float(v * v % 1009) for v in range(3001)]
     df = spark.createDataFrame([(v,) for v in data], "x double")
     for limit in (10, 10**6):
@@ -54,6 +55,7 @@ def test_whole_table_as_one_group(spark):
 
 def test_the_route_depends_on_the_largest_group(values, monkeypatch):
     used = []
+    monkeypatch.setattr(medians, "SMALL_TABLE", 0)
     for name in ("builtin_median", "bracketed_median"):
         route = getattr(medians, name)
         monkeypatch.setattr(medians, name, lambda *a, _r=route, _n=name: used.append(_n) or _r(*a))
@@ -61,6 +63,10 @@ def test_the_route_depends_on_the_largest_group(values, monkeypatch):
     exact_median(values, ["k"], ["a"], 5999)
     exact_median(values, ["k"], ["a"], 10, bounded_by_key=True)
     assert used == ["builtin_median", "bracketed_median", "builtin_median"]
+    # A table that fits into one task as a whole needs no bracketing.
+    monkeypatch.setattr(medians, "SMALL_TABLE", 10**6)
+    exact_median(values, ["k"], ["a"], 10)
+    assert used[-1] == "builtin_median"
 
 
 def test_no_rows(spark):
