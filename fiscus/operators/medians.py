@@ -4,8 +4,8 @@ Spark's own ``median`` keeps a value -> count map of a whole group in one task.
 best plan while the groups are known to fit, and a lost cause when one group holds a third
 of a huge table. ``exact_median`` counts first:
 
-* every group is small, or the whole table is: the built-in aggregate;
-* otherwise: narrow a bracket around the middle rank. Each pass is one scan in which a
+* groups that are small, or a table that is small as a whole: the built-in aggregate;
+* the other groups: narrow a bracket around the middle rank. Each pass is one scan in which a
   quantile sketch (fixed size, merged on the map side) proposes a tighter bracket and plain
   counts prove whether the middle rank lies inside. When few distinct values are left in
   every bracket, they are counted and ranked exactly. No pass shuffles the rows; the result
@@ -53,7 +53,20 @@ def exact_median(
     largest, total = _sizes(df, keys)
     if largest <= group_limit or total <= SMALL_TABLE:
         return builtin_median(df, keys, measures)
-    return bracketed_median(df, keys, measures, group_limit)
+    if not keys:
+        return bracketed_median(df, keys, measures, group_limit)
+    # Each large group has more than group_limit rows, so there are few of them; which
+    # groups they are is stored, and so has a size Spark knows when it joins.
+    n = F.count(F.lit(1)).alias("n")
+    large = df.groupBy(*keys).agg(n).where(F.col("n") > group_limit).select(
+        *[F.col(k).alias(f"large_{k}") for k in keys]
+    )
+    large = materialize(large, "large-groups")
+    match = [F.col(k).eqNullSafe(F.col(f"large_{k}")) for k in keys]
+    small = builtin_median(df.join(large, match, "left_anti"), keys, measures)
+    return small.unionByName(
+        bracketed_median(df.join(large, match, "left_semi"), keys, measures, group_limit)
+    )
 
 
 def builtin_median(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:

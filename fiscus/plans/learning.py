@@ -7,6 +7,7 @@ questions next to them check everything about a forecast that SQL can say.
 from __future__ import annotations
 
 import threading
+from weakref import WeakKeyDictionary
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -31,6 +32,7 @@ FEW_TREES = 5
 ONE_INN = "100000000007"
 
 _FITTED: dict[tuple[str, str, str], object] = {}
+_TRAINING: WeakKeyDictionary[Warehouse, DataFrame] = WeakKeyDictionary()
 _FITTING = threading.RLock()
 
 
@@ -44,7 +46,11 @@ def fitted(db: Warehouse, name: str, make):
 
 
 def training(db: Warehouse) -> DataFrame:
-    return fitted(db, "training", lambda: M.training_input(db.monthly_tax, db.taxpayer, db.econ))
+    """The stored model input; one per run, as stored tables are not kept between runs."""
+    with _FITTING:
+        if db not in _TRAINING:
+            _TRAINING[db] = M.training_input(db.monthly_tax, db.taxpayer, db.econ)
+        return _TRAINING[db]
 
 
 def forecast_model(db: Warehouse) -> PipelineModel:

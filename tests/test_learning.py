@@ -112,6 +112,15 @@ def test_unseen_and_null_categories(spark):
     assert X.feature_names(fitted, ["c"], []) == ["c_a's", "c_b"]
 
 
+def test_year_as_a_category_and_numbered_categories(train):
+    flags = Pipeline(stages=X.feature_stages(train, ["yr", "tax_type"], ["mon"])).fit(train)
+    future = train.where("yr = 2021").withColumn("yr", F.lit(2030))
+    found = {tuple(r[X.FEATURES].toArray()[1:3]) for r in flags.transform(future).collect()}
+    assert found == {(0.0, 0.0)}  # a year that was not seen
+    numbered = Pipeline(stages=X.feature_stages(train, ["tax_type"], ["mon"], flags=False)).fit(train)
+    assert {r[X.FEATURES][1] for r in numbered.transform(train).collect()} == {0.0, 1.0}
+
+
 def test_ridge_is_the_closed_form(train):
     alpha = 7.0
     fitted = M.fit_ridge(train, alpha)

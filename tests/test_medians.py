@@ -62,13 +62,22 @@ def test_the_route_depends_on_the_largest_group(values, monkeypatch):
     exact_median(values, ["k"], ["a"], 10**6)
     exact_median(values, ["k"], ["a"], 5999)
     exact_median(values, ["k"], ["a"], 10, bounded_by_key=True)
-    assert used == ["builtin_median", "bracketed_median", "builtin_median"]
+    # Only the hot group is bracketed; the small ones next to it are not.
+    assert used == ["builtin_median", "builtin_median", "bracketed_median", "builtin_median"]
     # A table that fits into one task as a whole needs no bracketing.
     monkeypatch.setattr(medians, "SMALL_TABLE", 10**6)
     exact_median(values, ["k"], ["a"], 10)
     assert used[-1] == "builtin_median"
 
 
+def test_large_and_small_groups_together(values, monkeypatch):
+    monkeypatch.setattr(medians, "SMALL_TABLE", 0)
+    keys = ["k", "g"]
+    expected = rows(builtin_median(values, keys, ["a", "b"]), keys)
+    for limit in (3, 100):
+        assert rows(exact_median(values, keys, ["a", "b"], limit), keys) == expected
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "k string, a double")
     assert exact_median(empty, ["k"], ["a"]).count() == 0
