@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fiscus.functions.scalars import stable_digest
 from fiscus.operators.medians import exact_median
+from fiscus.session import materialize
 
 METRICS = (
     "mae", "rmse", "mse", "r2", "mape", "median_ae", "max_error", "observations",
@@ -20,19 +21,23 @@ def regression_metrics(
     actual: str = "y_test",
     predicted: str = "y_pred",
     by: Sequence[str] = (),
+    stored: bool = False,
 ) -> DataFrame:
     """MAE, RMSE, MSE, R2, MAPE, median and largest error, number of rows, per group.
 
     One aggregate gives everything but the median error, whose group can be the whole
-    table. MAPE leaves out rows whose actual value is 0 and is null when none is left. As
+    table. The rows are scanned a few times: ``stored`` says that they are a plain table;
+    rows that come out of a model are scored once and their errors stored. MAPE leaves out rows whose actual value is 0 and is null when none is left. As
     usual for R2, a constant target gives 1 if every prediction is right and 0 if not.
     """
     by = list(by)
     error = F.abs(F.col(actual) - F.col(predicted))
-    # One full-row scan computes the terms; rows with a missing side are not observations.
+    # Rows with a missing side are not observations.
     terms = df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull()).select(
         *by, F.col(actual).alias("y"), error.alias("e")
     )
+    if not stored:
+        terms = materialize(terms, "errors")
     residual = F.sum(F.col("e") * F.col("e"))
     spread = F.var_pop("y") * F.count("y")
     r2 = F.when(spread > 0, F.lit(1.0) - F.try_divide(residual, spread)).otherwise(
@@ -48,7 +53,7 @@ def regression_metrics(
         F.max("e").alias("max_error"),
         F.count("y").alias("observations"),
     )
-    middle = exact_median(terms, by, ["e"]).withColumnRenamed("e", "median_ae")
+    middle = exact_median(terms, by, ["e"], stored=True).withColumnRenamed("e", "median_ae")
     if not by:
         return main.withColumn("median_ae", middle.scalar()).select(*METRICS)
     middle = middle.withColumnsRenamed({k: f"middle_{k}" for k in by})

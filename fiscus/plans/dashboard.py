@@ -27,7 +27,7 @@ from fiscus.plans.relational import (
 )
 from fiscus.plans.storage import GROWTH_ROWS_SQL
 from fiscus.schemas import MEASURES
-from fiscus.session import shared_folder
+from fiscus.session import materialize, shared_folder
 from fiscus.sources import marts
 from fiscus.sources.warehouse import Warehouse
 
@@ -250,8 +250,11 @@ def q_growth_median_type(db: Warehouse) -> DataFrame:
       round(median(cast(tax as double)), 4) as "MedianTax"
     from predict group by mon""", views="predict")
 def q_predict_profile(db: Warehouse) -> DataFrame:
-    sums = public(as_totals(A.month_profile(db.predict)))
-    medians = rounded(A.month_profile(db.predict, "median"), *MEASURES).withColumnsRenamed({
+    # Both halves read the same rows, so they are worked out once.
+    predictions = materialize(db.predict.select("mon", *MEASURES), "predictions")
+    sums = public(as_totals(A.month_profile(predictions)))
+    medians = A.month_profile(predictions, "median", stored=True)
+    medians = rounded(medians, *MEASURES).withColumnsRenamed({
         "mon": "Month", "income": "MedianIncome", "transactions": "MedianTransactions",
         "tax": "MedianTax",
     })

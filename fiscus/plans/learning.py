@@ -185,9 +185,9 @@ RIDGE_SQL = """
     s as (select covar_pop(x1, x1) * count(*) + 50 as a, covar_pop(x1, x2) * count(*) as b,
         covar_pop(x2, x2) * count(*) + 50 as d, covar_pop(x1, y) * count(*) as p,
         covar_pop(x2, y) * count(*) as q from rows)
-    select 'income' as feature, round((d * p - b * q) / (a * d - b * b), 6) as coefficient from s
+    select 'income' as feature, round((d * p - b * q) / (a * d - b * b), 5) as coefficient from s
     union all
-    select 'mon', round((a * q - b * p) / (a * d - b * b), 6) from s"""
+    select 'mon', round((a * q - b * p) / (a * d - b * b), 5) from s"""
 
 
 @question("ridge_closed_form", RIDGE_SQL, views="monthly_tax")
@@ -207,7 +207,7 @@ def ridge_closed_form(db: Warehouse) -> DataFrame:
     )
     table = M.coefficients(model, db.spark, ["income", "mon"], ["kind"])
     found = table.where(F.col("feature").isin("income", "mon"))
-    return found.withColumn("coefficient", F.round("coefficient", 6))
+    return found.withColumn("coefficient", F.round("coefficient", 5))
 
 
 @question("grid_search_cv")

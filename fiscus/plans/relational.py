@@ -440,7 +440,7 @@ def rounded_metrics(df: DataFrame) -> DataFrame:
 @question("regression_metrics", f"""
     select {METRICS_SQL} from (select *, abs(y_test - y_pred) as e from preds)""", views="preds")
 def regression_metrics(db: Warehouse) -> DataFrame:
-    return rounded_metrics(R.regression_metrics(db.preds))
+    return rounded_metrics(R.regression_metrics(db.preds, stored=True))
 
 
 @question("regression_metrics_by_target", f"""
@@ -452,7 +452,7 @@ def regression_metrics_by_target(db: Warehouse) -> DataFrame:
     sets = db.preds.select(F.lit("gross").alias("target"), "y_test", "y_pred").unionAll(
         db.preds.select(F.lit("net"), F.col("y_pred"), F.col("y_test"))
     )
-    return rounded_metrics(R.regression_metrics(sets, by=["target"]))
+    return rounded_metrics(R.regression_metrics(sets, by=["target"], stored=True))
 
 
 @question("ideal_line_range", """

@@ -123,7 +123,7 @@ def replace_year_predictions(db: Warehouse) -> DataFrame:
       (values ('GBT', 'Income'), ('Ridge', 'Tax')) v(model_name, target_name)""", views="preds")
 def append_model_metrics(db: Warehouse) -> DataFrame:
     path = shared_folder(db.spark, "model-metrics")
-    metrics = R.regression_metrics(db.preds)
+    metrics = R.regression_metrics(db.preds, stored=True)
     marts.append_model_metrics(metrics, path, "GBT", "Income")
     stored = marts.append_model_metrics(metrics, path, "Ridge", "Tax").drop("created_at")
     return stored.withColumns({c: F.round(c, d) for c, d in METRIC_DIGITS.items()})
