@@ -82,9 +82,9 @@ def mode_fills(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
 
 
 def median_fills(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """Medians of the columns that have any value at all."""
+    """Medians of the columns that have any value at all; ``df`` should be a stored table."""
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    row = exact_median(numbers, [], list(columns)).first().asDict()
+    row = exact_median(numbers, [], list(columns), stored=True).first().asDict()
     return {c: v for c, v in row.items() if v is not None}
 
 
@@ -136,6 +136,7 @@ def feature_stages(
 ) -> list[Estimator | Transformer]:
     """Pipeline stages from raw columns to one ``features`` vector.
 
+    ``train`` is read several times and should be a stored table.
     ``fills='learned'`` puts the most frequent category and the median in place of nulls,
     ``fills='constant'`` puts 'Unknown' and 0. Categories become 0/1 columns; one that was
     not seen in training becomes all zeros. Trees split on whole categories, so for them

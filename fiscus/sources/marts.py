@@ -68,16 +68,23 @@ def refresh(rows: DataFrame, path: str, schema: StructType) -> DataFrame:
     return open_table(rows.sparkSession, path, schema)
 
 
-def yearly_growth_rows(real: DataFrame, predicted: DataFrame, mode: str) -> DataFrame:
-    """Rows of a growth mart. A growth that is not defined is stored as 0."""
-    rows = A.yearly_growth(real, predicted, mode)
+def yearly_growth_rows(
+    real: DataFrame, predicted: DataFrame, mode: str, stored: bool = False
+) -> DataFrame:
+    """Rows of a growth mart. A growth that is not defined is stored as 0.
+
+    ``stored`` says that both inputs are plain tables, cheap to scan again.
+    """
+    rows = A.yearly_growth(real, predicted, mode, stored)
     back = {name: stored for stored, name in GROWTH_MART.items()}
     return rows.na.fill(0.0, [f"{m}_growth" for m in MEASURES]).withColumnsRenamed(back)
 
 
-def monthly_median_rows(real: DataFrame, predicted: DataFrame) -> DataFrame:
+def monthly_median_rows(
+    real: DataFrame, predicted: DataFrame, stored: bool = False
+) -> DataFrame:
     """Monthly medians over recorded and predicted rows pooled together."""
-    medians = A.by_type_with_total(A.pooled(real, predicted), "median", ["yr", "mon"])
+    medians = A.by_type_with_total(A.pooled(real, predicted), "median", ["yr", "mon"], stored)
     back = {name: stored for stored, name in MEDIAN_MART.items()}
     return medians.withColumnsRenamed(back).withColumn("created_at", F.current_timestamp())
 
@@ -118,10 +125,12 @@ def growth_summary(
     tax_type: str | None = None,
     start_year: int | None = None,
     end_year: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     found = summary_or_fill(
         real.sparkSession, path, YEARLY_GROWTH, GROWTH_KEYS,
-        lambda: yearly_growth_rows(real, predicted, mode), tax_type, start_year, end_year,
+        lambda: yearly_growth_rows(real, predicted, mode, stored),
+        tax_type, start_year, end_year,
     )
     return found.withColumnsRenamed(GROWTH_MART)
 
@@ -133,10 +142,11 @@ def monthly_median_summary(
     tax_type: str | None = None,
     start_year: int | None = None,
     end_year: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     found = summary_or_fill(
         real.sparkSession, path, MONTHLY_MEDIAN, MEDIAN_KEYS,
-        lambda: monthly_median_rows(real, predicted), tax_type, start_year, end_year,
+        lambda: monthly_median_rows(real, predicted, stored), tax_type, start_year, end_year,
     )
     return found.withColumnsRenamed(MEDIAN_MART)
 
