@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fiscus.llm import bpe, packing, quality, shuffling, simhash, toxicity
+from fiscus.llm import bpe, lsh, packing, quality, search, shuffling, simhash, toxicity
 from fiscus.llm.common import table
 from fiscus.llm.labelled import held_out
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_search(spark, folder):
+    return search.top_k(table(spark, folder, "embeddings"), 20)
+
+
 def op4_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -40,6 +44,10 @@ def op7_quality(spark, folder):
     return done.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "lines", F.size("bad_lines").alias("n_bad_lines"))
 
 
+def op8_embeddings(spark, folder):
+    return lsh.near_vectors(table(spark, folder, "embeddings"))
+
+
 def op9_toxicity(spark, folder):
     docs = table(spark, folder, "documents")
     model = toxicity.train(docs, table(spark, folder, "labels"))
@@ -51,5 +59,18 @@ def op10_simhash(spark, folder):
     return simhash.near_groups(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op5_bpe, op6_shuffle, op7_quality, op9_toxicity, op10_simhash)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_search, op4_packing, op5_bpe, op6_shuffle, op7_quality, op8_embeddings, op9_toxicity, op10_simhash)}
+SQL: dict[str, str] = {
+    "op1_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS p FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.p, c.p), z -> z[1] * z[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.p) = len(q.p) WHERE q.vec_id % 20 = 0
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        )
+        SELECT * FROM r WHERE rank <= 20
+    """,
+}
