@@ -123,6 +123,12 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
+def collected(batches) -> pa.Table | None:
+    """All rows of one task, if there are any."""
+    found = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(found) if found else None
+
+
 def record(names: list[str], arrays: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in arrays], names=names)
 

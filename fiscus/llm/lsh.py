@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscus.llm.common import binaries, mix, partitions, ranges, record, stored
+from fiscus.llm.common import binaries, collected, mix, partitions, ranges, record, stored
 from fiscus.llm.components import components, forest
 from fiscus.llm.vectors import matrices
 
@@ -147,8 +147,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     total = place.join(shared, "key").agg(F.sum("cells")).first()[0] or 0
 
     def compare(batches):
-        got = pa.Table.from_batches(list(batches))
-        if got.num_rows < 2:
+        got = collected(batches)
+        if got is None:
             return
         columns = [got.column(i).to_numpy() for i in range(7)]
         keys = got.column(7).combine_chunks()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fiscus.llm import bpe, lsh, packing, quality, search, shuffling, simhash, toxicity
+from fiscus.llm import bpe, fm_index, lsh, packing, quality, search, shuffling, simhash, suffixes, toxicity
 from fiscus.llm.common import table
 from fiscus.llm.labelled import held_out
 
@@ -16,6 +16,21 @@ def op1_search(spark, folder):
     return search.top_k(table(spark, folder, "embeddings"), 20)
 
 
+def removed():
+    """How much the spans of a document hold."""
+    return F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.start)").alias("n_removed")
+
+
+def op2_substrings(spark, folder):
+    done = fm_index.remove_repeats(table(spark, folder, "documents"))
+    return done.select("doc_id", "n_words", removed(), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_suffixes(spark, folder):
+    done = suffixes.remove_repeats(table(spark, folder, "documents"))
+    return done.select("doc_id", "n_bytes", removed(), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -59,14 +74,29 @@ def op10_simhash(spark, folder):
     return simhash.near_groups(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_search, op4_packing, op5_bpe, op6_shuffle, op7_quality, op8_embeddings, op9_toxicity, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_search, op2_substrings, op3_suffixes, op4_packing, op5_bpe, op6_shuffle, op7_quality, op8_embeddings, op9_toxicity, op10_simhash)}
 SQL: dict[str, str] = {
+    "op2_substrings": """
+        WITH d AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+        ), p AS (
+            SELECT doc_id, s, md5(array_to_string(list_slice(ws, s, s + 49), ' ')) AS w
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS s FROM d)
+        ), f AS (SELECT w, min(doc_id) AS least FROM p GROUP BY w),
+        g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM p JOIN f USING (w) WHERE least < doc_id),
+        k AS (
+            SELECT doc_id, coalesce(string_agg(word, ' ' ORDER BY i), '') AS kept, count(*) AS n
+            FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d) ANTI JOIN g USING (doc_id, i) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)
+    """,
     "op1_search": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS p FROM embeddings
-            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS p FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.p, c.p), z -> z[1] * z[2])) AS BIGINT) AS score
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.p, c.p), lambda z: z[1] * z[2])) AS BIGINT) AS score
             FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.p) = len(q.p) WHERE q.vec_id % 20 = 0
         ), r AS (
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s

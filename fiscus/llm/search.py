@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fiscus.llm.common import record, stored
+from fiscus.llm.common import collected, record, stored
 from fiscus.llm.vectors import matrices
 
 K, SCALE = 20, 64
@@ -170,8 +170,8 @@ def top_k(df: DataFrame, query_every: int, id_col: str = "vec_id", vector_col: s
             "part", F.pmod(F.xxhash64("vec_id", "seed"), F.col("parts")).cast("int")).select("dim", "part", "vec_id", "point"), parts
 
     def grouped(batches, make):
-        rows = pa.Table.from_batches(list(batches))
-        if not rows.num_rows:
+        rows = collected(batches)
+        if rows is None:
             return
         dim, part = rows.column(0).to_numpy(), rows.column(1).to_numpy()
         ids = rows.column(2).to_numpy()

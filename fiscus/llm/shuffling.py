@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fiscus.llm.common import stored
+from fiscus.llm.common import collected, stored
 
 SHARDS, SEED = 16, 20240229
 #: UTF-8 bytes of text that one bucket holds on average.
@@ -39,8 +39,8 @@ def shuffle(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
     def run(batches):
         own = TaskContext.get().partitionId()
-        rows = pa.Table.from_batches(list(batches))
-        if not rows.num_rows:
+        rows = collected(batches)
+        if rows is None:
             return
         order = np.random.Generator(np.random.Philox(key=[seed, own])).permutation(rows.num_rows)
         mixed = rows.take(pa.array(order))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscus.llm.common import chunks_of, ids_and_texts, partitions, ranges, record, stored
+from fiscus.llm.common import chunks_of, collected, ids_and_texts, partitions, ranges, record, stored
 from fiscus.llm.components import components, forest
 
 BITS = 64
@@ -130,8 +130,8 @@ def near_links(prints: DataFrame, radius: int = 3, segments: int = 2, block: int
     count = partitions(spark, prints.count() * segments * len(ball), ROWS)
 
     def run(batches):
-        table = pa.Table.from_batches(list(batches))
-        if table.num_rows > 1:
+        table = collected(batches)
+        if table is not None:
             a, b = _verified(*[table.column(i).to_numpy() for i in range(3)], width, radius)
             yield record(["a", "b"], [a, b])
 
@@ -149,3 +149,24 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return rows.join(groups, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of ``df`` whose id is the smallest of its group, with their columns as they are.
+
+    An id that repeats is one document, of which the smallest row stays. Rows without an id cannot be named and stay.
+    """
+    name = "c" + str(df.columns.index(id_col))
+    rows = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    groups = near_groups(df, id_col, text_col, shingle, radius)
+    kept = stored(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
+    own = F.col(name).cast("long") == F.col("doc_id")
+    once = rows.join(kept.where("rows = 1"), own, "left_semi")
+    unnamed = rows.where(F.col(name).isNull())
+    done = once.union(unnamed)
+    again = kept.where("rows > 1")
+    if not again.isEmpty():
+        others = [c for c in rows.columns if c != name]
+        least = rows.join(again, own, "left_semi").groupBy(name).agg(F.min(F.struct(*others)).alias("row"))
+        done = done.union(least.select(*[name if c == name else F.col("row")[c].alias(c) for c in rows.columns]))
+    return done.toDF(*df.columns)
