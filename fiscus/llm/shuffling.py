@@ -7,7 +7,7 @@ after one another are a random order of all records; every shard is a contiguous
 and the counts of two shards differ by one at most.
 
 Null texts are empty in size and checksum and stay null in the shards; repeated rows are rows of
-their own. ``write`` keeps all columns; columns named like the operator's own are renamed by the caller.
+their own. ``write`` keeps all columns; columns named like the operator's own (``shard``, ``slot``) raise an error.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ LAW = "rows"
 
 def shuffle(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Every row of ``df`` with its ``shard`` and its ``slot`` there, stored in shuffled order."""
-    spark = df.sparkSession
+    if clash := {"shard", "slot", "__bucket", "__place", "__first"} & set(df.columns):
+        raise ValueError(f"rename the columns {sorted(clash)} before the shuffle")
     total = df.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + F.lit(64))).first()[0] or 0
     buckets = max(math.ceil(total / bucket_bytes), 1)
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
