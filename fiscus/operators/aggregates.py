@@ -216,7 +216,7 @@ def distinct_payers(facts_of_payers: DataFrame) -> DataFrame:
 def share_by(df: DataFrame, key: str) -> DataFrame:
     """Count and percentage of rows per value; the total comes from the counts."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
+    total = counts.agg(F.sum("n").alias("total"))
     return counts.withColumn(
         "share_pct", F.lit(100.0) * F.col("n") / total.scalar()
     )

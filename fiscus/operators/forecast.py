@@ -16,6 +16,7 @@ from fiscus.operators.joins import (
     attach_scenario,
     forecast_grid,
     payers_by_tax_type,
+    spread,
 )
 from fiscus.schemas import MEASURES, PREDICT
 from fiscus.sources import marts
@@ -37,8 +38,7 @@ def tidy(scored: DataFrame) -> DataFrame:
 def score_grid(model: PipelineModel, payers: DataFrame, year: int) -> DataFrame:
     """Twelve predicted months for each payer and regime.
 
-    From payers to predictions this is one narrow stage: rows are unfolded, encoded and
-    scored where they are.
+    Payers are spread over all cores; then rows are unfolded, encoded and scored where they are.
     """
     return tidy(model.transform(forecast_grid(payers, year))).select(*FORECAST, *PREDICTED)
 
@@ -77,7 +77,7 @@ def score_payers(
         ids = payers.agg(F.min("taxpayer_id").alias("lo"), F.max("taxpayer_id").alias("hi"))
         facts = facts.where(F.col("taxpayer_id") >= ids.select("lo").scalar())
         facts = facts.where(F.col("taxpayer_id") <= ids.select("hi").scalar())
-    grid = payers_with_own_year(facts, payers).select(
+    grid = spread(payers_with_own_year(facts, payers)).select(
         "*", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("mon")
     )
     grid = grid.withColumn("season", season(F.col("mon")))

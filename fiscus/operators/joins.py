@@ -2,8 +2,7 @@
 
 No join here carries a broadcast hint on data: Spark broadcasts a side when its known or
 measured size is under the session's threshold, and otherwise shuffles, splitting hot keys
-(adaptive skew join). The one exception is ``with_months``, whose right side is bounded by
-construction.
+(adaptive skew join).
 """
 
 from __future__ import annotations
@@ -16,9 +15,6 @@ from pyspark.sql import functions as F
 from fiscus.functions.scalars import season
 from fiscus.schemas import MEASURES
 
-# A month table may cover these years. With one row per (yr, mon) it has at most 3 600 rows.
-CALENDAR_YEARS = (1900, 2199)
-
 PAYER_ATTRIBUTES = (
     "taxpayer_id", "full_name", "inn", "taxpayer_type", "activity_type",
     "registration_district", "has_employees", "employees_count",
@@ -47,23 +43,28 @@ def payers_by_tax_type(
 
 
 def with_months(facts: DataFrame, months: DataFrame) -> DataFrame:
-    """Left join on (yr, mon) to a table with one row per month.
+    """Left join on (yr, mon); a month that is there twice gives both rows.
 
-    Hashing facts on the month would leave a few dozen huge partitions, so the month side
-    is always broadcast. Grouping by (yr, mon) inside a fixed range of years bounds it.
+    A stored month table has a known size, so Spark broadcasts it while it is small.
     """
-    names = [c for c in months.columns if c not in ("yr", "mon")]
-    one_per_month = (
-        months.where(F.col("yr").between(*CALENDAR_YEARS) & F.col("mon").between(1, 12))
-        .groupBy("yr", "mon")
-        .agg(*[F.max(c).alias(c) for c in names])
-    )
-    return facts.join(F.broadcast(one_per_month), ["yr", "mon"], "left")
+    return facts.join(months, ["yr", "mon"], "left")
+
+
+def spread(payers: DataFrame) -> DataFrame:
+    """Payer rows dealt over all cores by id, before they are unfolded and scored.
+
+    The payers often come from one small file, whose split would otherwise carry the whole grid.
+    An explicit count is not coalesced.
+    """
+    spark = payers.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    count = max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return payers.repartition(count, "taxpayer_id")
 
 
 def forecast_grid(payers: DataFrame, year: int) -> DataFrame:
-    """Every payer row x the 12 months of ``year``: unfolded in place, nothing shuffled."""
-    return payers.select(
+    """Every payer row x the 12 months of ``year``: only the payers are shuffled."""
+    return spread(payers).select(
         "*",
         F.lit(year).cast("int").alias("yr"),
         F.explode(F.sequence(F.lit(1), F.lit(12))).alias("mon"),

@@ -54,7 +54,7 @@ def training_input(
     """Facts with payer attributes, season and, if given, the month's economy; stored once."""
     rows = facts_with_payers(facts, payers)
     if econ is not None:
-        rows = with_months(rows, econ)
+        rows = with_months(rows, materialize(econ, "months"))
         rows = rows.withColumns({
             c: F.lit(None).cast("double") for c in ECON if c not in rows.columns
         })
@@ -145,6 +145,18 @@ def fit_targets(
     return Pipeline(stages=[*stages, *regressors]).fit(train)
 
 
+def fit_lines(train: DataFrame, inputs: Mapping[str, Sequence[str]]) -> PipelineModel:
+    """Least squares for several targets, each from a few numeric inputs that are never null."""
+    stages = []
+    for label, names in inputs.items():
+        stages.append(VectorAssembler(inputCols=list(names), outputCol=f"{label}_inputs"))
+        stages.append(LinearRegression(
+            featuresCol=f"{label}_inputs", labelCol=label, predictionCol=f"predicted_{label}",
+            solver="normal", standardization=False, regParam=0.0,
+        ))
+    return Pipeline(stages=stages).fit(train)
+
+
 def fit_forecast(train: DataFrame, trees: int = TREES) -> PipelineModel:
     """Boosted trees for income, transactions and tax."""
     return fit_targets(train, [boosted_trees(m, trees) for m in MEASURES], flags=False)
@@ -164,6 +176,12 @@ def ridge_inputs(train: DataFrame) -> list[str]:
     return known_columns(train, wanted)
 
 
+def fit_best_ridge(train: DataFrame, label: str = "transactions") -> PipelineModel:
+    """The ridge model of the strength that the search finds best."""
+    best = search_ridge(train, label=label).where("best").first()["alpha"]
+    return fit_ridge(train, best, label)
+
+
 def fit_ridge(train: DataFrame, alpha: float = 1.0, label: str = "transactions") -> PipelineModel:
     regressor = ridge(label, alpha * ridge_strength(train, label))
     return fit_targets(train, [regressor], numeric=ridge_inputs(train), scaled=True)
@@ -178,10 +196,11 @@ def search_ridge(
     """Mean R2 over the folds for each alpha, with the best one marked.
 
     All a ridge fit needs of its rows is the matrix of products of the columns, and
-    these matrices add up: one per fold, gathered by Spark in a single pass, answers for
-    every alpha and every choice of held-out fold. What remains is solving systems as wide
-    as the feature vector. Folds come from a hash of the row key, so they do not depend on
-    how rows are spread.
+    these matrices add up: one per fold, each gathered by Spark in one pass over the fold, answers
+    for every alpha and every choice of held-out fold. What remains is solving systems as wide
+    as the feature vector. Numbers are scaled anew for each choice, by the spread of the rows
+    that are fitted on. Folds come from a hash of the row key, so they do not depend on how
+    rows are spread.
     """
     numeric = ridge_inputs(train)
     prepared = Pipeline(stages=[
@@ -190,11 +209,11 @@ def search_ridge(
         VectorAssembler(inputCols=[FEATURES, label, "one"], outputCol="row"),
     ]).fit(train)
     rows = with_fold(prepared.transform(train.where(F.col(label).isNotNull())), folds)
-    rows = rows.select("row", "fold")
+    rows = materialize(rows.select("row", "fold"), "folds")
     products = [_products(rows.where(F.col("fold") == k)) for k in range(folds)]
     everything = sum(products)
     scores = [
-        float(np.mean([_held_out_r2(everything - p, p, alpha) for p in products]))
+        float(np.mean([_held_out_r2(everything - p, p, alpha, len(numeric)) for p in products]))
         for alpha in alphas
     ]
     best = int(np.argmax(scores))
@@ -210,12 +229,19 @@ def _products(rows: DataFrame) -> np.ndarray:
     return RowMatrix(plain).computeGramianMatrix().toArray()
 
 
-def _held_out_r2(fitted_on: np.ndarray, held_out: np.ndarray, alpha: float) -> float:
-    """R2 on ``held_out`` of the ridge line through ``fitted_on``; no penalty on the level."""
+def _held_out_r2(fitted_on: np.ndarray, held_out: np.ndarray, alpha: float, scaled: int) -> float:
+    """R2 on ``held_out`` of the ridge line through ``fitted_on``; no penalty on the level.
+
+    The first ``scaled`` features are numbers: a penalty on the slope of a scaled number is one on
+    the slope times the number's deviation.
+    """
     n, sums = fitted_on[-1, -1], fitted_on[-1, :-1]
     centred = fitted_on[:-1, :-1] - np.outer(sums, sums) / n
     width = len(sums) - 1
-    slope = np.linalg.solve(centred[:-1, :-1] + alpha * np.eye(width), centred[:-1, -1])
+    penalty = np.ones(width)
+    variance = np.diag(centred)[:scaled] / n
+    penalty[:scaled] = np.where(variance > 0, variance, 1.0)
+    slope = np.linalg.solve(centred[:-1, :-1] + alpha * np.diag(penalty), centred[:-1, -1])
     level = (sums[-1] - sums[:-1] @ slope) / n
     # Residual = label - slope * features - level, as weights of the stored columns.
     weights = np.concatenate([-slope, [1.0, -level]])
@@ -258,6 +284,14 @@ def fit_log_target(
     return Pipeline(stages=[*stages, regressor, back]).fit(logged)
 
 
+def fit_log_line(train: DataFrame, label: str, inputs: Sequence[str]) -> PipelineModel:
+    """Least squares of log(1 + target), cut to its usual range, from a few numbers; un-logged again."""
+    logged = train.withColumn(f"log_{label}", log_target(F.col(label), label))
+    lines = fit_lines(logged, {f"log_{label}": inputs})
+    back = SQLTransformer(statement=f"select *, expm1(predicted_log_{label}) as predicted_{label} from __THIS__")
+    return PipelineModel([*lines.stages, back])
+
+
 def fit_tax(train: DataFrame, numeric: Sequence[str], trees: int | None = None) -> PipelineModel:
     """Tax from every input, income and transactions included."""
     regressor = linear("tax") if trees is None else boosted_trees("tax", trees)
@@ -271,6 +305,14 @@ def predictions(model: PipelineModel, rows: DataFrame, label: str) -> DataFrame:
     )
 
 
+def cut_actuals(sets: DataFrame) -> DataFrame:
+    """Actual values cut to the ranges their logged targets were trained on."""
+    cut = F.col("y_test")
+    for label, limits in LOG_RANGES.items():
+        cut = F.when(F.col("target") == label, clip_range(F.col("y_test"), *limits)).otherwise(cut)
+    return sets.withColumn("y_test", cut)
+
+
 def labelled_predictions(
     model: PipelineModel, rows: DataFrame, labels: Sequence[str], columns: Mapping[str, str] | None = None
 ) -> DataFrame:

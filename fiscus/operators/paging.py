@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from fiscus.functions.scalars import ceil_div
 from fiscus.operators.filters import contains, equals, where_all
 
-MAX_PAGE_SIZE = 100
 SORTABLE = (
     "taxpayer_id", "full_name", "inn", "registration_district", "has_employees",
     "employees_count",
@@ -32,17 +31,35 @@ def page_of(df: DataFrame, page: int = 1, page_size: int = 10) -> DataFrame:
     """Slice of a sorted frame. Sort, offset and limit fuse into one per-partition top-n."""
     if page < 1 or page_size < 1:
         raise ValueError("page and page_size start at 1")
-    size = min(page_size, MAX_PAGE_SIZE)
-    return df.offset((page - 1) * size).limit(size)
+    return df.offset((page - 1) * page_size).limit(page_size)
 
 
 def page_after(
-    df: DataFrame, last_id: int | None = None, page_size: int = 10
+    df: DataFrame,
+    last_id: int | None = None,
+    page_size: int = 10,
+    sort_by: str = "taxpayer_id",
+    sort_order: str = "asc",
+    last_value=None,
 ) -> DataFrame:
-    """Next page in id order, from the last id seen: its cost does not grow with depth."""
-    size = min(page_size, MAX_PAGE_SIZE)
-    rows = df if last_id is None else df.where(F.col("taxpayer_id") > F.lit(last_id))
-    return rows.orderBy("taxpayer_id").limit(size)
+    """Next page from the last row seen, its value and its id: the cost does not grow with depth."""
+    rows = df
+    if last_id is not None:
+        column, later = F.col(sort_by), F.col("taxpayer_id") > F.lit(last_id)
+        up = sort_order.upper() == "ASC"
+        if sort_by == "taxpayer_id":
+            after = later if up else F.col("taxpayer_id") < F.lit(last_id)
+        elif last_value is None:
+            after = column.isNull() & later
+            if up:
+                after = after | column.isNotNull()
+        else:
+            value = F.lit(last_value)
+            after = (column > value if up else column < value) | ((column == value) & later)
+            if not up:
+                after = after | column.isNull()
+        rows = df.where(after)
+    return order_by(rows, sort_by, sort_order).limit(page_size)
 
 
 def with_total(rows: DataFrame, counted: DataFrame) -> DataFrame:
@@ -70,9 +87,8 @@ def payer_page(
         contains("inn", inn),
         equals("registration_district", district or None),
     )
-    size = min(page_size, MAX_PAGE_SIZE)
     rows = with_total(page_of(order_by(found, sort_by, sort_order), page, page_size), found)
-    return rows.withColumn("total_pages", ceil_div(F.col("total_count"), size))
+    return rows.withColumn("total_pages", ceil_div(F.col("total_count"), page_size))
 
 
 def page_summary(
@@ -82,7 +98,6 @@ def page_summary(
     found = where_all(
         payers, contains("inn", inn), equals("registration_district", district or None)
     )
-    size = min(page_size, MAX_PAGE_SIZE)
     return found.agg(F.count(F.lit(1)).alias("total")).withColumn(
-        "total_pages", ceil_div(F.col("total"), size)
+        "total_pages", ceil_div(F.col("total"), page_size)
     )

@@ -17,7 +17,6 @@ from fiscus.functions.lookups import (
     NET_INCOME_RATE,
     PATENT_RATE,
 )
-from fiscus.operators.joins import CALENDAR_YEARS
 
 MONTHS = 12
 
@@ -152,14 +151,10 @@ def bands_by_year(bands: DataFrame) -> DataFrame:
     """Year ranges unfolded to one row per year; of overlapping bands the first one counts.
 
     Settling overlaps on the small side turns the range join into an equality join, with
-    no ranking of the facts. One row per calendar year at most.
+    no ranking of the facts. A band that ends before it begins covers no year.
     """
-    first, last = (F.lit(year) for year in CALENDAR_YEARS)
-    years = bands.where((F.col("year_from") <= last) & (F.col("year_to") >= first)).select(
-        "band", "low", "high",
-        F.explode(
-            F.sequence(F.greatest("year_from", first), F.least("year_to", last))
-        ).alias("yr"),
+    years = bands.where(F.col("year_from") <= F.col("year_to")).select(
+        "band", "low", "high", F.explode(F.sequence("year_from", "year_to")).alias("yr")
     )
     chosen = F.min_by(F.struct("low", "high"), "band").alias("price")
     return years.groupBy("yr").agg(chosen).select("yr", "price.*")
@@ -169,7 +164,7 @@ def with_price_band(
     df: DataFrame, bands: DataFrame, default: int = FLAT_PRICE_DEFAULT
 ) -> DataFrame:
     """Low and high price of the row's year; ``default`` for years outside every band."""
-    return df.join(F.broadcast(bands_by_year(bands)), "yr", "left").withColumns({
+    return df.join(bands_by_year(bands), "yr", "left").withColumns({
         "low": F.coalesce("low", F.lit(default)),
         "high": F.coalesce("high", F.lit(default)),
     })

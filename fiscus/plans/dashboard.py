@@ -36,7 +36,8 @@ HISTORY_VIEWS = "monthly_tax taxpayer predict"
 
 
 def history(db: Warehouse, inn: str | None = None) -> DataFrame:
-    return J.payer_history(db.monthly_tax, db.predict, db.taxpayer, inn)
+    own = db if inn is None else db.of_payer(inn)
+    return J.payer_history(own.monthly_tax, own.predict, own.taxpayer, inn)
 
 
 @question("q_payer", f"select * from taxpayer where inn = '{ONE_INN}'", views="taxpayer")
@@ -163,7 +164,8 @@ MONTHLY_GENERAL_SQL = """
 
 
 def monthly_general(db: Warehouse, tax_type=None, start_year=None, end_year=None) -> DataFrame:
-    rows = P.in_years(P.of_tax_type(db.monthly_tax, tax_type), start_year, end_year)
+    facts = db.recorded(start_year, end_year)
+    rows = P.in_years(P.of_tax_type(facts, tax_type), start_year, end_year)
     return public(as_totals(A.monthly(rows)).orderBy("yr", "mon"))
 
 
@@ -279,8 +281,12 @@ PAGE_SQL = """
     from taxpayer"""
 
 
-def page(db: Warehouse, **wanted) -> DataFrame:
-    rows = L.payer_page(db.taxpayer, page_size=15, **wanted)
+# The list shows this many payers at most, whatever is asked for.
+MAX_PAGE_SIZE = 100
+
+
+def page(db: Warehouse, page_size: int = 15, **wanted) -> DataFrame:
+    rows = L.payer_page(db.taxpayer, page_size=min(page_size, MAX_PAGE_SIZE), **wanted)
     cards = P.user_records(P.normalize_types(rows), "total_count", "total_pages")
     return cards.drop("avatar").withColumnRenamed("total_count", "total")
 
@@ -298,6 +304,16 @@ def q_payers_page_deep(db: Warehouse) -> DataFrame:
     return page(db, page=4, sort_by="full_name")
 
 
+@question("q_payers_page_after", """
+    select taxpayer_id, full_name, registration_district from taxpayer
+    where registration_district > 'NATION_13'
+      or (registration_district = 'NATION_13' and taxpayer_id > 20)
+    order by registration_district, taxpayer_id limit 15""", views="taxpayer")
+def q_payers_page_after(db: Warehouse) -> DataFrame:
+    rows = db.taxpayer.select("taxpayer_id", "full_name", "registration_district")
+    return L.page_after(rows, 20, 15, "registration_district", "asc", "NATION_13")
+
+
 @question("q_payers_page_summary", """
     select count(*) as total, cast(ceil(count(*) / 15.0) as bigint) as total_pages
     from taxpayer where inn like '%1%' and registration_district = 'NATION_5'""",

@@ -53,7 +53,7 @@ def scan_sql(db: Warehouse) -> DataFrame:
         """select yr, mon, cast(sum(income) as double) as total_income
            from {facts} where tax_type = :tax_type and yr >= :start group by yr, mon""",
         args={"tax_type": "2-HIGH", "start": 1997},
-        facts=db.monthly_tax,
+        facts=db.recorded(1997),
     )
 
 
@@ -73,7 +73,7 @@ def monthly_data_raw(db: Warehouse) -> DataFrame:
     where tax_type = '5-LOW' and yr <= 1997""", views="monthly_tax")
 def filter_optional_conj(db: Warehouse) -> DataFrame:
     rows = P.where_all(
-        db.monthly_tax, P.equals("tax_type", "5-LOW"), P.at_least("yr", None), P.at_most("yr", 1997)
+        db.recorded(None, 1997), P.equals("tax_type", "5-LOW"), P.at_least("yr", None), P.at_most("yr", 1997)
     )
     return as_doubles(rows).drop("tax_type")
 
@@ -82,7 +82,7 @@ def filter_optional_conj(db: Warehouse) -> DataFrame:
     select taxpayer_id, yr, mon, tax_type, {AS_DOUBLES_SQL} from monthly_tax
     where yr >= 1996 and yr <= 1998""", views="monthly_tax")
 def filter_year_range(db: Warehouse) -> DataFrame:
-    return as_doubles(P.in_years(db.monthly_tax, 1996, 1998))
+    return as_doubles(P.in_years(db.recorded(1996, 1998), 1996, 1998))
 
 
 @question("filter_tax_type", """
@@ -259,8 +259,9 @@ def payer_history(db: Warehouse) -> DataFrame:
     where inn = '{ONE_INN}' and yr >= 1999 and yr <= 2001""",
     views="monthly_tax taxpayer predict")
 def payer_history_years(db: Warehouse) -> DataFrame:
+    own = db.of_payer(ONE_INN)
     return as_doubles(
-        J.payer_history(db.monthly_tax, db.predict, db.taxpayer, ONE_INN, 1999, 2001)
+        J.payer_history(own.recorded(1999, 2001), own.predict, own.taxpayer, ONE_INN, 1999, 2001)
     )
 
 

@@ -234,9 +234,12 @@ def tax_type_fallback(db: Warehouse) -> DataFrame:
     )
 
 
-@question("now_stamp")
+@question("now_stamp", "select taxpayer_id, true as stamped from taxpayer", views="taxpayer")
 def now_stamp(db: Warehouse) -> DataFrame:
-    return db.taxpayer.select("taxpayer_id", F.current_timestamp().alias("created_at"))
+    stamped = db.taxpayer.withColumn("created_at", F.current_timestamp())
+    return stamped.select(
+        "taxpayer_id", (F.col("created_at").isNotNull() & (F.col("created_at") <= F.current_timestamp())).alias("stamped")
+    )
 
 
 # ------------------------------------------------------------------ rules

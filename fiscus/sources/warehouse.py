@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fiscus.session import materialize
+
 LAST_REAL_YEAR = 2000
 PREDICTED_YEAR = 2001
 ECON_FROM_YEAR = 1998
@@ -181,6 +183,15 @@ class Warehouse:
             )
         )
 
+    def recorded(self, start_year: int | None = None, end_year: int | None = None) -> DataFrame:
+        """Recorded facts of some years; the range reaches the scan of the orders."""
+        last = LAST_REAL_YEAR if end_year is None else min(end_year, LAST_REAL_YEAR)
+        return self.facts(start_year, last)
+
+    def of_payer(self, inn: str) -> OnePayer:
+        """The same tables of one payer."""
+        return OnePayer(self.spark, self.folder, inn)
+
     @cached_property
     def tax_all(self) -> DataFrame:
         return self.facts()
@@ -232,3 +243,38 @@ class Warehouse:
             F.col("l_extendedprice").cast("decimal(18,2)").alias("taxable_base"),
             F.to_date("l_shipdate").alias("acquisition_date"),
         )
+
+
+class OnePayer(Warehouse):
+    """The logical tables of one payer, for look-ups that must not shuffle everybody's lines.
+
+    The payer's orders are stored first. Spark then knows how few they are, and their order ids
+    bound the scan of the lines and pick from it before anything is shuffled.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, inn: str):
+        super().__init__(spark, folder)
+        self.inn = inn
+
+    @cached_property
+    def taxpayer(self) -> DataFrame:
+        return super().taxpayer.where(F.col("inn") == F.lit(self.inn))
+
+    @cached_property
+    def _orders(self) -> DataFrame:
+        ids = self.taxpayer.agg(F.min("taxpayer_id").alias("lo"), F.max("taxpayer_id").alias("hi"))
+        orders = super().base("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+        own = orders.where(F.col("o_custkey") >= ids.select("lo").scalar())
+        return materialize(own.where(F.col("o_custkey") <= ids.select("hi").scalar()), "payer-orders")
+
+    def base(self, name: str) -> DataFrame:
+        if name == "orders":
+            return self._orders
+        if name != "lineitem":
+            return super().base(name)
+        ends = self._orders.agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi")).first()
+        if ends["lo"] is None:
+            return super().base(name).limit(0)
+        lines = super().base(name).where(F.col("l_orderkey").between(ends["lo"], ends["hi"]))
+        keys = self._orders.select(F.col("o_orderkey").alias("l_orderkey"))
+        return lines.join(keys, "l_orderkey", "left_semi")

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from fiscus.operators import aggregates as A
 from fiscus.operators import joins as J
@@ -121,6 +122,12 @@ def test_grid(make_facts, make_payers):
     assert J.forecast_grid(make_payers([1]).limit(0), 2021).count() == 0
 
 
+def test_the_grid_is_spread_before_it_is_scored(make_payers):
+    grid = J.forecast_grid(make_payers(range(300)).coalesce(1), 2021)
+    sizes = grid.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 8 and max(r["count"] for r in sizes) < 0.2 * 300 * 12
+
+
 def test_anti_join_treats_null_as_a_key(spark):
     rows = spark.createDataFrame([(2020, None), (2020, "A"), (2021, None)], "yr int, tax_type string")
     stored = spark.createDataFrame([(2020, None), (2021, "A")], "yr int, tax_type string")

@@ -38,9 +38,21 @@ def test_past_the_end_the_total_is_still_known(payers):
     assert tuple(L.page_summary(payers, 10, inn="nobody").first()) == (0, 0)
 
 
-def test_page_size_is_limited(payers):
-    assert L.payer_page(payers, 1, 1000).count() == 100
-    assert L.page_summary(payers, 1000).first()["total_pages"] == 3
+def test_a_page_has_the_size_asked_for(payers):
+    assert L.payer_page(payers, 1, 250).count() == 250
+    assert L.page_of(payers, 1, 250).count() == L.page_after(payers, None, 250).count() == 250
+    assert L.page_summary(payers, 100).first()["total_pages"] == 3
+
+
+@pytest.mark.parametrize("column", L.SORTABLE)
+@pytest.mark.parametrize("order", ["asc", "desc"])
+def test_pages_by_the_last_row_are_the_sorted_list(payers, column, order):
+    want = ids(L.order_by(payers, column, order))
+    got, last = [], (None, None)
+    while rows := L.page_after(payers, last[0], 70, column, order, last[1]).collect():
+        got += [r["taxpayer_id"] for r in rows]
+        last = rows[-1]["taxpayer_id"], rows[-1][column]
+    assert got == want
 
 
 def test_empty_filters_mean_no_filter(payers):

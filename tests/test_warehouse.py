@@ -120,8 +120,28 @@ def test_lines_are_added_up_once_for_both_sources(spark, lopsided):
 
 
 def test_a_payer_is_looked_up_by_id_in_the_scan(spark, lopsided):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
     db = Warehouse(spark, lopsided[0])
-    df = J.payer_history(db.monthly_tax, db.predict, db.taxpayer, "100000000003")
-    assert df.count() > 0
-    scan = [line for line in _plan(df).splitlines() if "FileScan" in line and "o_custkey" in line]
-    assert any("Subquery" in line or "o_custkey" in line.split("DataFilters")[1] for line in scan)
+    own = db.of_payer("100000000003")
+    df = J.payer_history(own.monthly_tax, own.predict, own.taxpayer, "100000000003")
+    everybody = J.payer_history(db.monthly_tax, db.predict, db.taxpayer, "100000000003")
+    assert sorted(map(str, df.collect())) == sorted(map(str, everybody.collect())) != []
+    final = _plan(df)
+    scans = [line for line in final.splitlines() if "FileScan" in line and "l_extendedprice" in line]
+    assert scans and all("GreaterThanOrEqual(l_orderkey," in line and "LessThanOrEqual(l_orderkey," in line for line in scans)
+    # The lines are cut to the payer's orders where they are read, before any exchange.
+    assert "BroadcastHashJoin [l_orderkey" in final
+
+
+def test_year_ranges_reach_the_scan(spark, lopsided):
+    from fiscus.plans import all_questions
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    for name in ("filter_year_range", "q_monthly_general_type"):
+        plan = _plan(all_questions()[name](spark, lopsided[0]))
+        assert "GreaterThanOrEqual(o_orderdate,1996-01-01" in plan and "LessThan(o_orderdate,1999-01-01" in plan, name
+
+
+def test_one_payer_without_orders(spark, lopsided):
+    own = Warehouse(spark, lopsided[0]).of_payer("no such payer")
+    assert own.monthly_tax.count() == 0
