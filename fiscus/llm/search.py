@@ -28,7 +28,7 @@ from fiscus.llm.common import collected, record, stored
 from fiscus.llm.vectors import matrices
 
 K, SCALE = 20, 64
-SHARD, LEAF, BLOCK = 16_384, 128, 1024
+SHARD, LEAF, BLOCK = 16_384, 512, 1024
 NO_ID = 2**63 - 1
 
 
@@ -92,9 +92,13 @@ class Tree:
         self.dim = self.points.shape[1]
         self.as_float = self.points.astype(np.float64)
 
+    def small(self, queries: np.ndarray) -> bool:
+        """Whether floating point holds every sum of products exactly."""
+        return self.most * np.abs(queries).max(initial=0) * max(self.dim, 1) < 2**52
+
     def products(self, rows: slice, queries: np.ndarray) -> np.ndarray:
-        """Exact integer products; in floating point where no sum can exceed 2^53."""
-        if self.most * np.abs(queries).max(initial=0) * max(self.dim, 1) < 2**52:
+        """Exact integer products."""
+        if self.small(queries):
             return (self.as_float[rows] @ queries.T.astype(np.float64)).astype(np.int64)
         return self.points[rows].astype(np.int64) @ queries.T
 
@@ -102,11 +106,12 @@ class Tree:
         """Largest product that each node's box allows each query; rounded up where floating point is not exact."""
         up, down = np.maximum(queries, 0).astype(float), np.minimum(queries, 0).astype(float)
         found = up @ self.high.T.astype(float) + down @ self.low.T.astype(float)
-        return found if self.most * np.abs(queries).max(initial=0) * max(self.dim, 1) < 2**52 else found + np.abs(found) * 1e-12 + 1
+        return found if self.small(queries) else found + np.abs(found) * 1e-12 + 1
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int):
         """(query, id, score) arrays: all rows that can be among a query's k best, given that k rows reach kth elsewhere."""
         bounds = self.bounds(queries)
+        points, asked = (self.as_float, queries.astype(np.float64)) if self.small(queries) else (self.points.astype(np.int64), queries)
         out = []
         for q, own in enumerate(query_ids):
             bound, known = bounds[q], kth[q]
@@ -126,11 +131,13 @@ class Tree:
                             heapq.heappush(heap, (-bound[c], c))
                     continue
                 rows = slice(self.begin[n], self.end[n])
-                score, some = self.products(rows, queries[q:q + 1])[:, 0], self.ids[rows]
-                fine = (some != own) & (score >= limit)
-                if not fine.any():
+                score = points[rows] @ asked[q]
+                fine = np.flatnonzero(score >= limit)
+                fine = fine[self.ids[rows][fine] != own]
+                if not len(fine):
                     continue
-                scores, ids = np.concatenate([scores, score[fine]]), np.concatenate([ids, some[fine]])
+                scores = np.concatenate([scores, score[fine].astype(np.int64)])
+                ids = np.concatenate([ids, self.ids[rows][fine]])
                 if len(scores) >= k:
                     best = np.lexsort((ids, -scores))[:k]
                     scores, ids = scores[best], ids[best]
