@@ -23,7 +23,7 @@ from fiscus.llm.common import chunks_of, ids_and_texts, joined, prefix_sums, rec
 from fiscus.llm.labelled import sample
 
 #: Labelled documents of either label that the fit reads at most, and features that get a weight at most.
-SAMPLE, FEATURES = 3000, 20_000
+SAMPLE, FEATURES = 6000, 40_000
 #: Bits of a hashed feature; beginnings of words in bytes.
 BITS, BEGINNINGS = 22, (4, 5, 6, 7)
 CHUNK = 4 << 20
