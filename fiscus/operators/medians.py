@@ -8,7 +8,8 @@ of a huge table. ``exact_median`` counts first:
 * the other groups: narrow a bracket around the middle rank. Each pass is one scan in which a
   quantile sketch (fixed size, merged on the map side) proposes a tighter bracket and plain
   counts prove whether the middle rank lies inside. When few distinct values are left in
-  every bracket, they are counted and ranked exactly. No pass shuffles the rows; the result
+  every bracket, they are counted and ranked exactly. The brackets join the rows without a
+  shuffle while there are few enough groups for Spark to broadcast them; the result
   never depends on the sketch being right.
 """
 
@@ -27,7 +28,6 @@ GROUP_LIMIT = 100_000
 SMALL_TABLE = 2_000_000
 SKETCH_ACCURACY = 10_000
 GRID = 500
-MAX_PASSES = 8
 
 
 def exact_median(
@@ -112,10 +112,13 @@ def bracketed_median(
         .withColumns({"below": F.lit(0).cast("long"), "inside": F.col("n")}),
         "median-brackets",
     )
-    for _ in range(MAX_PASSES):
+    before = None
+    while True:
         widest = brackets.where("lo < hi").agg(F.max("variety")).first()[0]
-        if widest is None or widest <= group_limit:
+        # Each pass narrows the widest bracket many times over, unless the sketch misses.
+        if widest is None or widest <= group_limit or widest == before:
             break
+        before = widest
         brackets = _narrow(long, brackets, group)
     return _pick(long, brackets, keys, measures)
 

@@ -38,6 +38,7 @@ from fiscus.session import materialize
 TREES = 500
 TREE_DEPTH = 5
 LEARNING_RATE = 0.05
+MAX_BINS = 64
 SEED = 42
 ALPHAS = (0.1, 1.0, 5.0, 10.0, 50.0, 100.0)
 FOLDS = 5
@@ -82,9 +83,9 @@ def boosted_trees(
     trees: int = TREES,
     depth: int = TREE_DEPTH,
     rate: float = LEARNING_RATE,
-    max_bins: int = 64,
+    max_bins: int = MAX_BINS,
 ) -> GBTRegressor:
-    """``max_bins`` must be at least the number of values of the widest category."""
+    """``max_bins`` must be at least the number of values of the widest category (``bins_for``)."""
     return GBTRegressor(
         featuresCol=FEATURES,
         labelCol=label,
@@ -157,9 +158,16 @@ def fit_lines(train: DataFrame, inputs: Mapping[str, Sequence[str]]) -> Pipeline
     return Pipeline(stages=stages).fit(train)
 
 
+def bins_for(train: DataFrame, categorical: Sequence[str] = CATEGORICAL) -> int:
+    """Bins that hold every value of the widest category, and one more for null and one for the unseen."""
+    widths = train.agg(*[F.count_distinct(c).alias(c) for c in categorical]).first()
+    return max(MAX_BINS, *[n + 2 for n in widths])
+
+
 def fit_forecast(train: DataFrame, trees: int = TREES) -> PipelineModel:
     """Boosted trees for income, transactions and tax."""
-    return fit_targets(train, [boosted_trees(m, trees) for m in MEASURES], flags=False)
+    bins = bins_for(train)
+    return fit_targets(train, [boosted_trees(m, trees, max_bins=bins) for m in MEASURES], flags=False)
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -176,15 +184,23 @@ def ridge_inputs(train: DataFrame) -> list[str]:
     return known_columns(train, wanted)
 
 
-def fit_best_ridge(train: DataFrame, label: str = "transactions") -> PipelineModel:
+def fit_best_ridge(train: DataFrame, label: str = "transactions", **inputs) -> PipelineModel:
     """The ridge model of the strength that the search finds best."""
-    best = search_ridge(train, label=label).where("best").first()["alpha"]
-    return fit_ridge(train, best, label)
+    best = search_ridge(train, label=label, **inputs).where("best").first()["alpha"]
+    return fit_ridge(train, best, label, **inputs)
 
 
-def fit_ridge(train: DataFrame, alpha: float = 1.0, label: str = "transactions") -> PipelineModel:
+def fit_ridge(
+    train: DataFrame,
+    alpha: float = 1.0,
+    label: str = "transactions",
+    numeric: Sequence[str] | None = None,
+    categorical: Sequence[str] = CATEGORICAL,
+) -> PipelineModel:
+    """``numeric``: the number inputs; by default those of the transactions model."""
     regressor = ridge(label, alpha * ridge_strength(train, label))
-    return fit_targets(train, [regressor], numeric=ridge_inputs(train), scaled=True)
+    numeric = ridge_inputs(train) if numeric is None else numeric
+    return fit_targets(train, [regressor], categorical=categorical, numeric=numeric, scaled=True)
 
 
 def search_ridge(
@@ -192,24 +208,27 @@ def search_ridge(
     alphas: Sequence[float] = ALPHAS,
     folds: int = FOLDS,
     label: str = "transactions",
+    numeric: Sequence[str] | None = None,
+    categorical: Sequence[str] = CATEGORICAL,
 ) -> DataFrame:
     """Mean R2 over the folds for each alpha, with the best one marked.
 
     All a ridge fit needs of its rows is the matrix of products of the columns, and
-    these matrices add up: one per fold, each gathered by Spark in one pass over the fold, answers
-    for every alpha and every choice of held-out fold. What remains is solving systems as wide
+    these matrices add up: one per fold answers for every alpha and every choice of held-out
+    fold. The prepared rows are stored by fold, so that each matrix reads its own fold and the
+    rows are read once in all. What remains is solving systems as wide
     as the feature vector. Numbers are scaled anew for each choice, by the spread of the rows
-    that are fitted on. Folds come from a hash of the row key, so they do not depend on how
+    that are fitted on. Folds come from a digest of the row key, so they do not depend on how
     rows are spread.
     """
-    numeric = ridge_inputs(train)
+    numeric = ridge_inputs(train) if numeric is None else list(numeric)
     prepared = Pipeline(stages=[
-        *feature_stages(train, numeric=numeric, scaled=True),
+        *feature_stages(train, categorical, numeric, scaled=True),
         SQLTransformer(statement="select *, 1.0D as one from __THIS__"),
         VectorAssembler(inputCols=[FEATURES, label, "one"], outputCol="row"),
     ]).fit(train)
     rows = with_fold(prepared.transform(train.where(F.col(label).isNotNull())), folds)
-    rows = materialize(rows.select("row", "fold"), "folds")
+    rows = materialize(rows.select("row", "fold"), "folds", "fold")
     products = [_products(rows.where(F.col("fold") == k)) for k in range(folds)]
     everything = sum(products)
     scores = [

@@ -1,7 +1,8 @@
 """Features, models and forecasts.
 
 Forecasts are scored with least squares on two numbers, which SQL can solve too, so their values
-are checked; scoring does not depend on the kind of model. Fits on all inputs have no SQL twin.
+are checked; scoring does not depend on the kind of model. Fits on all inputs have no SQL twin; the
+same flows on two inputs (``..._two_inputs``) have.
 A question on the boosted trees is not registered: 500 rounds for three targets take too long
 for test data, and fewer would be another model. ``models.fit_forecast`` fits them.
 """
@@ -337,6 +338,119 @@ def model_save_load(db: Warehouse) -> DataFrame:
     )
 
 
+# The same flows on two numeric inputs, for which SQL can solve the systems too.
+
+TWO_INPUTS = {"numeric": ("mon", "income"), "categorical": ()}
+
+SPLIT_SQL = """select *, md5(concat_ws('|', '42', taxpayer_id, yr, mon, tax_type)) < 'cccccccc' as in_train,
+    cast('0x' || substr(md5(concat_ws('|', '43', taxpayer_id, yr, mon, tax_type)), 1, 8) as bigint) % 5 as fold
+  from (select taxpayer_id, tax_type, yr, mon, cast(income as double) as income,
+    cast(transactions as double) as transactions, cast(tax as double) as tax from monthly_tax)"""
+
+
+def penalised_sql(rows: str, by: str) -> str:
+    """Level and slopes of the ridge plane of ``y`` over ``x1`` and ``x2`` for each ``alpha`` and ``by``."""
+    return f"""select *, my - s1 * mx1 - s2 * mx2 as level from (
+      select *, (d * (1 + alpha / n) * p - b * q) / (a * d * (1 + alpha / n) * (1 + alpha / n) - b * b) as s1,
+        (a * (1 + alpha / n) * q - b * p) / (a * d * (1 + alpha / n) * (1 + alpha / n) - b * b) as s2
+      from (select {by}, count(*) as n, avg(x1) as mx1, avg(x2) as mx2, avg(y) as my,
+          covar_pop(x1, x1) as a, covar_pop(x1, x2) as b, covar_pop(x2, x2) as d,
+          covar_pop(x1, y) as p, covar_pop(x2, y) as q
+        from ({rows}) group by {by}),
+      (select unnest([{', '.join(f'{a}::double' for a in M.ALPHAS)}]) as alpha))"""
+
+
+HELD_OUT_SQL = f"""train as (select mon as x1, income as x2, transactions as y, fold from ({SPLIT_SQL}) where in_train),
+    planes as ({penalised_sql('select t.*, k from train t, range(5) folds(k) where t.fold <> k', 'k')}),
+    scores as (select alpha, k, 1 - sum((y - level - s1 * x1 - s2 * x2) ** 2) / (var_pop(y) * count(*)) as r2
+      from train join planes on fold = k group by alpha, k),
+    found as (select alpha, avg(r2) as mean_r2 from scores group by alpha),
+    whole as (select * from ({penalised_sql('select *, 0 as k from train', 'k')})
+      where alpha = (select arg_max(alpha, mean_r2) from found))"""
+
+
+def metrics_sql(target: str, actual: str, predicted: str, rows: str) -> str:
+    return f"""select '{target}' as target, round(avg(abs(y - z)), 4) as mae, round(sqrt(avg((y - z) ** 2)), 4) as rmse,
+      round(1 - sum((y - z) ** 2) / (var_pop(y) * count(*)), 8) as r2,
+      round(avg(case when y <> 0 then abs(y - z) / abs(y) end) * 100, 4) as mape,
+      round(median(abs(y - z)), 4) as median_ae, round(max(abs(y - z)), 4) as max_error, count(*) as observations
+    from (select {actual} as y, {predicted} as z from {rows})"""
+
+
+def rounded_metrics(sets: DataFrame) -> DataFrame:
+    """Without the mean square, which the root says already, in as many digits as any order of sums gives."""
+    found = R.regression_metrics(sets, by=["target"]).drop("mse")
+    names = ("mae", "rmse", "mape", "median_ae", "max_error")
+    return found.withColumns({c: F.round(c, 4) for c in names} | {"r2": F.round("r2", 8)})
+
+
+def split_rows(db: Warehouse) -> tuple[DataFrame, DataFrame]:
+    return X.split_train_test(fitted(db, "plain-rows", lambda: plain_rows(db)))
+
+
+def two_input_ridge(db: Warehouse) -> PipelineModel:
+    return fitted(db, "ridge-2", lambda: M.fit_best_ridge(split_rows(db)[0], **TWO_INPUTS))
+
+
+@question("grid_search_two_inputs", f"""
+    with {HELD_OUT_SQL}
+    select alpha, round(mean_r2, 8) as mean_r2, alpha = (select arg_max(alpha, mean_r2) from found) as best from found""",
+    views="monthly_tax")
+def grid_search_two_inputs(db: Warehouse) -> DataFrame:
+    found = M.search_ridge(split_rows(db)[0], **TWO_INPUTS)
+    return found.withColumn("mean_r2", F.round("mean_r2", 8))
+
+
+@question("ridge_train_two_inputs", f"""
+    with {HELD_OUT_SQL}
+    {metrics_sql('transactions', 'transactions', 'level + s1 * mon + s2 * income',
+                 f'({SPLIT_SQL}), whole where not in_train')}""", views="monthly_tax")
+def ridge_train_two_inputs(db: Warehouse) -> DataFrame:
+    return rounded_metrics(M.labelled_predictions(two_input_ridge(db), split_rows(db)[1], ["transactions"]))
+
+
+@question("coefficient_table_two_inputs", f"""
+    with {HELD_OUT_SQL}
+    select feature, round(coefficient, 5) as coefficient from (
+      select 'mon' as feature, s1 * sqrt(a) as coefficient from whole
+      union all select 'income', s2 * sqrt(d) from whole)""", views="monthly_tax")
+def coefficient_table_two_inputs(db: Warehouse) -> DataFrame:
+    table = M.coefficients(two_input_ridge(db), db.spark, **TWO_INPUTS)
+    return table.withColumn("coefficient", F.round("coefficient", 5))
+
+
+LOGGED_SQL = f"""train as (select *, ln(1 + least(greatest(income, 5000), 500000)) as log_income,
+      ln(1 + least(greatest(transactions, 0), 500)) as log_transactions from ({SPLIT_SQL}) where in_train),
+    test as (select * from ({SPLIT_SQL}) where not in_train)"""
+
+
+@question("log_target_two_inputs", f"""
+    with {LOGGED_SQL}, {line_sql('from train', 'log_income', 'yr', 'mon', 'line_income')},
+    {line_sql('from train', 'log_transactions', 'mon', 'income', 'line_transactions')}
+    {metrics_sql('income', 'least(greatest(income, 5000), 500000)', 'exp(level + s1 * yr + s2 * mon) - 1',
+                 'test, line_income')}
+    union all
+    {metrics_sql('transactions', 'least(greatest(transactions, 0), 500)', 'exp(level + s1 * mon + s2 * income) - 1',
+                 'test, line_transactions')}""", views="monthly_tax")
+def log_target_two_inputs(db: Warehouse) -> DataFrame:
+    train, test = split_rows(db)
+    income = M.fit_log_line(train, "income", ["yr", "mon"])
+    transactions = M.fit_log_line(train, "transactions", ["mon", "income"])
+    sets = M.labelled_predictions(income, test, ["income"]).unionByName(
+        M.labelled_predictions(transactions, test, ["transactions"])
+    )
+    return rounded_metrics(M.cut_actuals(sets))
+
+
+@question("tax_train_two_inputs", f"""
+    with {LOGGED_SQL}, {line_sql('from train', 'tax', 'income', 'transactions', 'line_tax')}
+    {metrics_sql('tax', 'tax', 'level + s1 * income + s2 * transactions', 'test, line_tax')}""", views="monthly_tax")
+def tax_train_two_inputs(db: Warehouse) -> DataFrame:
+    train, test = split_rows(db)
+    model = M.fit_lines(train, {"tax": ["income", "transactions"]})
+    return rounded_metrics(M.labelled_predictions(model, test, ["tax"]))
+
+
 # ------------------------------------------------------------------ forecasts
 
 
