@@ -30,6 +30,9 @@ SEED = 42
 #: Entries of one block of a file, rows of one task, pairs compared at once.
 BLOCK, ROWS, PAIRS = 4096, 400_000, 1 << 21
 CHUNK = 4 << 20
+#: Where a row meets others: two block numbers of SIDE bits, and as what it is there. All 2^32 fingerprints of a file have a block.
+SIDE = 21
+AS_FILE, AS_PROBE = 1 << 61, 1 << 60
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -63,18 +66,17 @@ def _ball(width: int, radius: int) -> list[int]:
 
 
 def _verified(key: np.ndarray, fp: np.ndarray, place: np.ndarray, width: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the rows of one task; place: cells << 40 | row's block << 20 | cell, or zero for a file in one block."""
-    order = np.lexsort((place & 0xFFFFF, key))
-    key, fp, place = key[order], fp[order], place[order]
-    cell, block, cells = place & 0xFFFFF, place >> 20 & 0xFFFFF, place >> 40
+    """Links among the rows of one task; place: the cell of two blocks with AS_FILE or AS_PROBE, or zero for a file in one block."""
+    cell = place & ((1 << 2 * SIDE) - 1)
+    order = np.lexsort((cell, key))
+    key, fp, place, cell = key[order], fp[order], place[order], cell[order]
     heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
     sizes = np.diff(np.append(heads, len(key)))
     begin, size = np.repeat(heads, sizes), np.repeat(sizes, sizes)
     own = fp.view(np.uint64) >> (np.uint64(width) * (key >> width).astype(np.uint64)) & np.uint64((1 << width) - 1) == (key & ((1 << width) - 1)).astype(np.uint64)
-    whole = cells == 0
-    safe = np.maximum(cells, 1)
-    filed = np.flatnonzero(own & (size > 1) & (whole | (cell // safe == block)))
-    probes = whole | (cell % safe == block)
+    whole = place == 0
+    filed = np.flatnonzero(own & (size > 1) & (whole | (place & AS_FILE != 0)))
+    probes = whole | (place & AS_PROBE != 0)
     links_a, links_b = [], []
     load = np.cumsum(size[filed]) // PAIRS
     for part in np.split(filed, np.flatnonzero(np.diff(load)) + 1):
@@ -117,15 +119,21 @@ def near_links(prints: DataFrame, radius: int = 3, segments: int = 2, block: int
     else:
         block_of = F.pmod(F.xxhash64("fp"), F.col("cells"))
         along = F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)
-        as_probe = F.transform(along, lambda x: x * F.col("cells") + F.col("block"))
-        as_file = F.transform(along, lambda x: F.col("block") * F.col("cells") + x)
+
+        def cell(x, y, *as_what):
+            place = F.shiftleft(x, SIDE).bitwiseOR(y)
+            for flag, there in as_what:
+                place = place.bitwiseOR(F.when(there, F.lit(flag)).otherwise(F.lit(0).cast("long")))
+            return place
+
+        own_block = F.col("block")
+        as_probe = F.transform(along, lambda x: cell(x, own_block, (AS_PROBE, F.lit(True)), (AS_FILE, x == own_block)))
+        as_file = F.transform(along, lambda y: cell(own_block, y, (AS_FILE, F.lit(True)), (AS_PROBE, y == own_block)))
         rows = (
             probes.join(cut, "key", "left").withColumn("block", F.when(F.col("cells").isNotNull(), block_of))
-            .withColumn("cell", F.explode(
+            .select("key", "fp", F.explode(
                 F.when(F.col("cells").isNull(), F.array(F.lit(0).cast("long")))
-                .otherwise(F.when(F.col("filed"), F.array_union(as_probe, as_file)).otherwise(as_probe))))
-            .select("key", "fp", F.when(F.col("cells").isNull(), F.lit(0).cast("long")).otherwise(
-                F.shiftleft("cells", 40).bitwiseOR(F.shiftleft("block", 20)).bitwiseOR(F.col("cell"))).alias("place"))
+                .otherwise(F.when(F.col("filed"), F.array_union(as_probe, as_file)).otherwise(as_probe))).alias("place"))
         )
     count = partitions(spark, prints.count() * segments * len(ball), ROWS)
 
@@ -135,7 +143,7 @@ def near_links(prints: DataFrame, radius: int = 3, segments: int = 2, block: int
             a, b = _verified(*[table.column(i).to_numpy() for i in range(3)], width, radius)
             yield record(["a", "b"], [a, b])
 
-    return rows.repartition(count, "key", F.col("place").bitwiseAND(F.lit(0xFFFFF))).mapInArrow(run, "a long, b long")
+    return rows.repartition(count, "key", F.col("place").bitwiseAND(F.lit((1 << 2 * SIDE) - 1))).mapInArrow(run, "a long, b long")
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, block: int = BLOCK) -> DataFrame:
