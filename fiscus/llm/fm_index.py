@@ -196,9 +196,7 @@ class FMIndex:
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(k1, k2, spans): words of each document covered by windows that start in a document with a smaller id."""
-    found = stored(windows.runs(docs, word_hashes, window, gram), "runs")
-    own = windows.members(found, among_documents=True)
-    chosen, count = windows.segments(own, window, 8, shard_bytes)
+    own, chosen, count = windows.routed(docs, word_hashes, window, gram, 8, shard_bytes, among_documents=True)
     kept = ["anchor", "segment", "windows", "least", "cells", "block"]
     dealt = windows.dealt(windows.contents(docs, chosen, word_hashes, window, kept), count)
 

@@ -6,8 +6,12 @@ Consecutive windows with the same anchor are one run, and the symbols they cover
 Equal segments are one entry with a count and one place where its symbols can be read. Only
 segments whose anchor occurs again can hold repeated windows; their symbols are fetched from the
 texts and dealt to shards by anchor. A shard therefore sees all segments that can share a window.
-An anchor with too many symbols for one shard is cut into blocks that meet pair by pair, each
-pair in a cell of its own.
+
+A phrase that very many texts share, each with other words around it, would bring all of them
+to one anchor. So if an anchor has too many different symbols for one shard, the grams that occur
+most around such anchors are counted, and windows are dealt anew with these grams last in the
+order: a window then meets others at a common gram only if it holds nothing else. An anchor that
+is too large even so is cut into blocks that meet pair by pair, each pair in a cell of its own.
 
 Documents are told apart by a 128-bit hash of id and text; rows that repeat both have one result,
 and each of them counts as an occurrence.
@@ -20,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscus.llm.common import chunks_of, collected, partitions, prefix_sums, record, slice_hashes, stored
+from fiscus.llm.common import chunks_of, collected, partitions, prefix_sums, ranges, record, slice_hashes, stored
 
 CHUNK = 3 << 20
 PLACE_BITS = 21
 PART = 1 << 20
+#: Common grams that are told to all tasks, at 8 bytes each; what goes beyond stays in the plain order.
+COMMON = 1 << 17
+PREFIX_BITS = 20
 RUNS = "k1 long, k2 long, doc_id long, start long, windows long, anchor long, segment long, again boolean"
 KEY = ["k1", "k2"]
 SEGMENT = ["anchor", "segment"]
@@ -36,10 +43,32 @@ def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.select(F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2"), "doc_id", "text")
 
 
-def runs_of(sums: np.ndarray, at: np.ndarray, window: int, gram: int):
+class Grams:
+    """A bounded set of grams."""
+
+    def __init__(self, grams=()):
+        self.sorted = np.unique(np.asarray(grams, np.uint64))
+        self.prefixes = np.zeros(1 << PREFIX_BITS, bool)
+        self.prefixes[(self.sorted >> np.uint64(64 - PREFIX_BITS)).astype(np.int64)] = True
+
+    def __len__(self) -> int:
+        return len(self.sorted)
+
+    def hold(self, grams: np.ndarray) -> np.ndarray:
+        """Which of the grams are in the set."""
+        held = self.prefixes[(grams >> np.uint64(64 - PREFIX_BITS)).astype(np.int64)]
+        some = np.flatnonzero(held)
+        if len(some):
+            near = np.minimum(np.searchsorted(self.sorted, grams[some]), len(self.sorted) - 1)
+            held[some] = self.sorted[near] == grams[some]
+        return held
+
+
+def runs_of(sums: np.ndarray, at: np.ndarray, window: int, gram: int, common: Grams | None = None):
     """All runs: text, first window, windows, anchor, hash of the segment, whether its anchor stands there twice.
 
-    sums: prefix sums of the symbols of all texts after one another; at: where each text begins.
+    sums: prefix sums of the symbols of all texts after one another; at: where each text begins;
+    common: grams that come last in the order.
     """
     n = len(sums) - 1
     found = []
@@ -51,7 +80,10 @@ def runs_of(sums: np.ndarray, at: np.ndarray, window: int, gram: int):
         b = min(a + PART, n - window + 1)
         place = np.arange(a, b + wide - 1)
         grams = slice_hashes(sums, place, place + gram)
-        least = grams >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS) | np.arange(len(place), dtype=np.uint64)
+        order = grams
+        if common is not None:
+            order = grams >> np.uint64(1) | common.hold(grams).astype(np.uint64) << np.uint64(63)
+        least = order >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS) | np.arange(len(place), dtype=np.uint64)
         done = 1
         while done * 2 <= wide:
             least = np.minimum(least[:-done], least[done:])
@@ -89,18 +121,56 @@ def runs_of(sums: np.ndarray, at: np.ndarray, window: int, gram: int):
     return text, pos - at[text], counts, anchor.view(np.int64), segment.view(np.int64), again
 
 
-def runs(docs: DataFrame, symbols, window: int, gram: int) -> DataFrame:
+def runs(docs: DataFrame, symbols, window: int, gram: int, common: Grams | None = None) -> DataFrame:
     """The runs of all documents; symbols: (texts) -> (values, where each text's values begin)."""
+    told = docs.sparkSession.sparkContext.broadcast(common)
+
     def run(batches):
         for chunk in chunks_of(batches, CHUNK, 3):
             values, at = symbols(chunk.column(3))
-            text, start, count, anchor, segment, again = runs_of(prefix_sums(values), at, window, gram)
+            text, start, count, anchor, segment, again = runs_of(prefix_sums(values), at, window, gram, told.value)
             own = chunk.select([0, 1, 2]).take(pa.array(text))
             yield record(["k1", "k2", "doc_id", "start", "windows", "anchor", "segment", "again"], [*own.columns, start, count, anchor, segment, again])
 
     return docs.mapInArrow(run, RUNS)
 
 
+def common_grams(docs: DataFrame, full: Grams, symbols, window: int, gram: int, least: int) -> Grams:
+    """The grams that stand at least ``least`` times in segments of the anchors ``full``, the most frequent ones first."""
+    told = docs.sparkSession.sparkContext.broadcast(full)
+
+    def run(batches):
+        for chunk in chunks_of(batches, CHUNK, 3):
+            values, at = symbols(chunk.column(3))
+            sums = prefix_sums(values)
+            text, start, count, anchor, _, _ = runs_of(sums, at, window, gram)
+            some = np.flatnonzero(told.value.hold(anchor.view(np.uint64)))
+            place = ranges(at[text[some]] + start[some], count[some] + window - gram)
+            grams, times = np.unique(slice_hashes(sums, place, place + gram), return_counts=True)
+            yield record(["gram", "times"], [grams.view(np.int64), times])
+
+    counts = docs.mapInArrow(run, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times"))
+    found = counts.where(F.col("times") >= least).orderBy(F.desc("times"), "gram").limit(COMMON).select("gram").toPandas()
+    return Grams(found["gram"].to_numpy(np.int64).view(np.uint64))
+
+
+def routed(docs: DataFrame, symbols, window: int, gram: int, width: int, shard_bytes: int, among_documents: bool) -> tuple[DataFrame, DataFrame, int]:
+    """The members, their distinct segments dealt to shards, and the number of shards."""
+    own = members(stored(runs(docs, symbols, window, gram), "runs"), among_documents)
+    chosen, count = segments(own, window, width, shard_bytes)
+    full = chosen.where("cells > 1").groupBy("anchor").agg(F.max("cells").alias("cells"))
+    full = full.orderBy(F.desc("cells"), "anchor").limit(COMMON).select("anchor").toPandas()
+    if not len(full):
+        return own, chosen, count
+    # As many occurrences as fill the part of a shard that one anchor may take.
+    least = max(shard_bytes // (2 * window * width), 2)
+    common = common_grams(docs, Grams(full["anchor"].to_numpy(np.int64).view(np.uint64)), symbols, window, gram, least)
+    if not len(common):
+        return own, chosen, count
+    own = members(stored(runs(docs, symbols, window, gram, common), "runs"), among_documents)
+    return own, *segments(own, window, width, shard_bytes)
+
+
 def members(found: DataFrame, among_documents: bool) -> DataFrame:
     """The runs whose anchor occurs again: in another document, if so asked, or else anywhere."""
     last = F.lit(2**63 - 1)

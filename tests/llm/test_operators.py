@@ -1,6 +1,7 @@
 """The operators against brute force, on small tables with every awkward case."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -189,6 +190,25 @@ def test_cut_anchors_give_the_same(docs):
         assert covered(module.find_repeats(found, window, shard_bytes=1200 * width)) == covered(module.find_repeats(found, window))
 
 
+def test_a_phrase_that_many_texts_share(spark):
+    # A common line amid other words must bring no two texts together, but a passage that holds it must.
+    rng = random.Random(5)
+    line = [f"line{i}" for i in range(45)]
+    passage = [f"p{i}" for i in range(40)] + line + [f"q{i}" for i in range(40)]
+    rows = [(i, [f"w{rng.randrange(10**9)}" for _ in range(60)] + (passage if i % 40 == 0 else line) + [f"w{rng.randrange(10**9)}" for _ in range(60)]) for i in range(240)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    found = fm_index.windows.documents(docs, "doc_id", "text")
+    small = 4 * 50 * 8 * 8
+    plain = fm_index.windows.members(fm_index.windows.runs(found, fm_index.word_hashes, 50, 8), True)
+    plain, _ = fm_index.windows.segments(plain, 50, 8, small)
+    _, dealt, _ = fm_index.windows.routed(found, fm_index.word_hashes, 50, 8, 8, small, True)
+    assert plain.agg({"cells": "max"}).first()[0] > 10
+    assert dealt.agg({"cells": "max"}).first()[0] <= 2 and dealt.count() < plain.count() / 4
+    got = {r["k1"]: len({p for s in r["spans"] for p in range(s["start"], s["end"])}) for r in fm_index.find_repeats(found, shard_bytes=small).collect()}
+    ids = {r["k1"]: r["doc_id"] for r in found.collect()}
+    assert {ids[k]: n for k, n in got.items() if n} == {i: len(passage) for i in range(40, 240, 40)}
+
+
 def test_clean_keeps_columns_and_characters(spark):
     passage = "é" * 300
     frame = spark.createDataFrame([(1, f"a{passage}b", 1), (2, f"xy{passage}", 2), (3, None, 3)], "doc_id long, text string, spans int")
