@@ -100,12 +100,15 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[at[0]:at[-1]], at - at[0]
 
 
-def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends in bytes of all words ``[^\\x20\\x09-\\x0D]+``, and the first word of each text (one more entry at the end)."""
+def words_of(data: np.ndarray, at: np.ndarray, breaks: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends in bytes of all words ``[^\\x20\\x09-\\x0D]+``, and the first word of each text (one more entry at the end).
+
+    breaks: for each byte, whether it ends a word.
+    """
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(at), np.int64)
-    solid = ~SPACES[data]
+    solid = ~breaks[data]
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
     cuts = at[(at > 0) & (at < len(data))]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fiscus.llm import bpe, fm_index, lsh, packing, quality, search, shuffling, simhash, suffixes, toxicity
+from fiscus.llm import bpe, divergence, fm_index, lsh, packing, quality, search, shuffling, simhash, suffixes, toxicity
 from fiscus.llm.common import table
 from fiscus.llm.labelled import held_out
 
@@ -74,7 +74,11 @@ def op10_simhash(spark, folder):
     return simhash.near_groups(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_search, op2_substrings, op3_suffixes, op4_packing, op5_bpe, op6_shuffle, op7_quality, op8_embeddings, op9_toxicity, op10_simhash)}
+def op13_divergence(spark, folder):
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_search, op2_substrings, op3_suffixes, op4_packing, op5_bpe, op6_shuffle, op7_quality, op8_embeddings, op9_toxicity, op10_simhash, op13_divergence)}
 SQL: dict[str, str] = {
     "op2_substrings": """
         WITH d AS (
@@ -103,4 +107,32 @@ SQL: dict[str, str] = {
         )
         SELECT * FROM r WHERE rank <= 20
     """,
+    "op13_divergence": """
+        WITH d AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+                   regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents
+        ), w AS (
+            SELECT lang, source, doc, translate(unnest(ws), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d
+        ), k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY ALL HAVING count(DISTINCT doc) >= 3),
+        l AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+        n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL),
+        f AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+                   CAST(1 + (1000000000 * CAST(coalesce(c.c, 0) + 1 AS HUGEINT)) // (coalesce(n.n, 0) + l.v) AS HUGEINT) AS p,
+                   CAST(1 + (1000000000 * CAST(k.total + 1 AS HUGEINT)) // (l.n + l.v) AS HUGEINT) AS q
+            FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN n USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), s AS (
+            SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS BIGINT) AS value
+            FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), r AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM f WHERE c > 0 AND p > q
+        ), o AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r
+        )
+        SELECT * FROM o WHERE part = 'pair' OR rank <= 200
+    """,
 }
