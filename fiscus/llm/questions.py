@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fiscus.llm import bpe, divergence, fm_index, lsh, packing, quality, search, shuffling, simhash, suffixes, toxicity
+from fiscus.llm import bpe, divergence, fm_index, lsh, packing, quality, search, shuffling, simhash, suffixes, token_files, toxicity
 from fiscus.llm.common import table
 from fiscus.llm.labelled import held_out
 
 VOCABULARY = "byte_bpe_50k.json"
+WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 def op1_search(spark, folder):
@@ -74,11 +75,16 @@ def op10_simhash(spark, folder):
     return simhash.near_groups(table(spark, folder, "documents"))
 
 
+def op11_token_files(spark, folder):
+    files = token_files.write(table(spark, folder, "documents"), public_tokenizers.path(WORD_VOCABULARY))
+    return token_files.checksums(token_files.read_documents(files))
+
+
 def op13_divergence(spark, folder):
     return divergence.audit(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_search, op2_substrings, op3_suffixes, op4_packing, op5_bpe, op6_shuffle, op7_quality, op8_embeddings, op9_toxicity, op10_simhash, op13_divergence)}
+QUERIES = {f.__name__: f for f in (op1_search, op2_substrings, op3_suffixes, op4_packing, op5_bpe, op6_shuffle, op7_quality, op8_embeddings, op9_toxicity, op10_simhash, op11_token_files, op13_divergence)}
 SQL: dict[str, str] = {
     "op2_substrings": """
         WITH d AS (
