@@ -36,7 +36,8 @@ from fiscus.session import shared_folder
 
 MAGIC = b"TOKDAC01"
 FILE_TOKENS = 1 << 21
-CHUNK = 3 << 20
+#: Bytes of text that are encoded at once, and in one task.
+CHUNK, TASK_BYTES = 2 << 20, 16 << 20
 BLOCK = 256
 FILES = "part long, file long, path string, tokens long, docs long"
 
@@ -215,55 +216,38 @@ def write(df: DataFrame, path: str, folder: str | None = None, end_id: int = 2,
     text = F.col(text_col).cast("string")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
 
-    def encode(batches):
-        coder = words(path)
-        for chunk in chunks_of(batches, CHUNK):
-            ids, counts = coder.encode(chunk.column(1), end_id)
-            narrow = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids.astype("<u4")
-            yield record(["doc_id", "h", "n", "ids"], [chunk.column(0), chunk.column(2), counts, binaries(narrow, np.concatenate([[0], np.cumsum(counts)]))])
-
-    coded = stored(docs.mapInArrow(encode, "doc_id long, h long, n long, ids binary"), "token-ids")
-    total = coded.agg(F.sum("n")).first()[0] or 0
-    # Rows with equal ids and hashes are dealt by their number within their input partition as well.
-    ordered = coded.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(partitions(spark, total, 2 * file_tokens), "doc_id", "h", "salt")
-    ordered = ordered.sortWithinPartitions("doc_id", "h", "salt").select("doc_id", "n", "ids", F.spark_partition_id().alias("part"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Rows with equal ids and texts are dealt by their place in the input as well.
+    ordered = docs.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(partitions(spark, total, TASK_BYTES), "doc_id", "h", "salt")
+    ordered = ordered.sortWithinPartitions("doc_id", "h", "salt").select("doc_id", "text", F.spark_partition_id().cast("long").alias("part"))
 
     def save(batches):
         system, base = opened(folder)
-        waiting, number = [], 0
+        system.create_dir(base, recursive=True)
+        coder, waiting, number, part = words(path), [], 0, 0
 
-        def flush(part: int):
+        def flush() -> pa.RecordBatch:
             nonlocal waiting, number
-            table = pa.Table.from_batches(waiting)
-            doc_ids, sizes, rows = table.column(0).combine_chunks(), table.column(1).to_numpy(), table.column(2).to_pylist()
-            ids = np.concatenate([np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype(np.uint32) for x, n in zip(rows, sizes.tolist(), strict=True)])
+            doc_ids = pa.chunked_array([x[0] for x in waiting]).combine_chunks()
+            sizes, ids = (np.concatenate([x[i] for x in waiting]) for i in (1, 2))
             nulls = doc_ids.is_null().to_numpy(zero_copy_only=False)
-            content = file_bytes(ids, sizes, doc_ids.fill_null(0).to_numpy(), nulls)
             # Attempts of a task never write to the same file; the one whose manifest rows are kept counts.
             name = f"{base}/tokens-{part:08d}-{number:06d}-{uuid.uuid4().hex}.dac"
             with system.open_output_stream(f"{name}.part") as out:
-                out.write(content)
+                out.write(file_bytes(ids, sizes, doc_ids.fill_null(0).to_numpy(), nulls))
             system.move(f"{name}.part", name)
-            row = record(["part", "file", "path", "tokens", "docs"], [pa.array([part], pa.int64()), pa.array([number], pa.int64()), [name], pa.array([len(ids)], pa.int64()), pa.array([len(sizes)], pa.int64())])
+            row = record(["part", "file", "path", "tokens", "docs"], [np.array([part]), np.array([number]), [name], np.array([len(ids)]), np.array([len(sizes)])])
             waiting, number = [], number + 1
             return row
 
-        system.create_dir(base, recursive=True)
-        held, part = 0, 0
-        for batch in batches:
-            sizes = batch.column(1).to_numpy()
-            at = 0
-            while at < batch.num_rows:
-                part = batch.column(3)[0].as_py()
-                upto = at + int(np.searchsorted(np.cumsum(sizes[at:]), file_tokens - held)) + 1
-                waiting.append(batch.slice(at, upto - at).select([0, 1, 2]))
-                held += int(sizes[at:upto].sum())
-                at = min(upto, batch.num_rows)
-                if held >= file_tokens:
-                    yield flush(part)
-                    held = 0
+        for chunk in chunks_of(batches, CHUNK):
+            part = chunk.column(2)[0].as_py()
+            ids, sizes = coder.encode(chunk.column(1), end_id)
+            waiting.append((chunk.column(0), sizes, ids))
+            if sum(len(x[2]) for x in waiting) >= file_tokens:
+                yield flush()
         if waiting:
-            yield flush(part)
+            yield flush()
 
     files = stored(ordered.mapInArrow(save, FILES), "token-files")
     # One row for every two million tokens; sums by task first, then within the task.
