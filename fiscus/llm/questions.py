@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fiscus.llm import bpe, divergence, fm_index, lsh, packing, quality, search, shuffling, simhash, suffixes, token_files, toxicity
+from fiscus.llm import bpe, divergence, fm_index, lsh, negatives, packing, quality, search, shuffling, simhash, suffixes, token_files, toxicity
 from fiscus.llm.common import table
 from fiscus.llm.labelled import held_out
 
@@ -80,11 +80,15 @@ def op11_token_files(spark, folder):
     return token_files.checksums(token_files.read_documents(files))
 
 
+def op12_negatives(spark, folder):
+    return negatives.mine(table(spark, folder, "embeddings"))
+
+
 def op13_divergence(spark, folder):
     return divergence.audit(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_search, op2_substrings, op3_suffixes, op4_packing, op5_bpe, op6_shuffle, op7_quality, op8_embeddings, op9_toxicity, op10_simhash, op11_token_files, op13_divergence)}
+QUERIES = {f.__name__: f for f in (op1_search, op2_substrings, op3_suffixes, op4_packing, op5_bpe, op6_shuffle, op7_quality, op8_embeddings, op9_toxicity, op10_simhash, op11_token_files, op12_negatives, op13_divergence)}
 SQL: dict[str, str] = {
     "op2_substrings": """
         WITH d AS (
@@ -113,6 +117,22 @@ SQL: dict[str, str] = {
         )
         SELECT * FROM r WHERE rank <= 20
     """,
+    "op12_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS p FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_sum(list_transform(list_zip(a.p, c.p), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM v a JOIN v c ON c.vec_id <> a.vec_id AND len(c.p) = len(a.p) WHERE a.vec_id % 50 = 0
+        ), p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3
+    """,
     "op13_divergence": """
         WITH d AS (
             SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
