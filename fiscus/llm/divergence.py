@@ -63,11 +63,11 @@ def terms_in(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     ])
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
+def term_counts(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     """(lang, source, term, count, docs) of a table of (lang, source, text): added up in the tasks before the shuffle."""
 
     def run(batches):
-        for chunk in chunks_of(batches, CHUNK, 2):
+        for chunk in chunks_of(batches, chunk_bytes, 2):
             found = terms_in(chunk)
             if found is not None:
                 yield found
@@ -92,11 +92,11 @@ def distance(p: Column, q: Column) -> Column:
     return whole((p - q) * (p - q), q)
 
 
-def cell(rows: pa.Table) -> pa.Table:
+def cell(rows: pa.Table, side: int = GROUPS) -> pa.Table:
     """Partial sums of one cell, less what every term would add if it stood in neither group.
 
     rows: gi, gj, gno, p0, term, p; a row without a term only names a group. A group without a row for a
-    term has the share p0 there.
+    term has the share p0 there; side: how many groups are in a block.
     """
     lang = rows.column("lang")[0]
     low, high = rows.column("gi")[0].as_py(), rows.column("gj")[0].as_py()
@@ -112,7 +112,7 @@ def cell(rows: pa.Table) -> pa.Table:
     width = len(coded.dictionary)
     shares = np.repeat(plain[:, None], width, axis=1)
     shares[at[there], coded.indices.to_numpy()] = rows.column("p").filter(pa.array(there)).to_numpy()
-    block = groups // GROUPS
+    block = groups // side
     out_a, out_b, out_v = [], [], []
     for i in np.flatnonzero(block == low):
         others = np.flatnonzero((block == high) & (groups > groups[i]))
@@ -131,14 +131,14 @@ def cell(rows: pa.Table) -> pa.Table:
     return pa.table({"lang": pa.array([lang.as_py()] * len(a), pa.string()), "gno": a, "other": b, "part": v})
 
 
-def audit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = LEAST, top: int = TOP) -> DataFrame:
+def audit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = LEAST, top: int = TOP, side: int = GROUPS, width: int = TERMS, chunk_bytes: int = CHUNK) -> DataFrame:
     """(lang, source, part, item, value, rank).
 
     part ``pair``: the divergence of each source from each other one of its language, largest first;
-    part ``term``: the ``top`` terms of which a source has more than its language, by their divergence.
+    part ``term``: the ``top`` terms of which a source has more than its language, by their divergence. side, width: groups and terms on the sides of a cell.
     """
     docs = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for n, c in (("lang", lang_col), ("source", source_col), ("text", text_col))])
-    counts = stored(term_counts(docs), "term-counts")
+    counts = stored(term_counts(docs, chunk_bytes), "term-counts")
     kept = stored(
         counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("total")).where(F.col("docs") >= least).drop("docs"), "kept-terms"
     )
@@ -150,7 +150,7 @@ def audit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_
         .select(
             "lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("lang_n", F.lit(0)).alias("lang_n"),
             (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long").alias("gno"),
-            F.ceil(F.count("*").over(Window.partitionBy("lang")) / GROUPS).cast("int").alias("blocks"), F.ceil(F.coalesce("v", F.lit(0)) / TERMS).cast("int").alias("slices"),
+            F.ceil(F.count("*").over(Window.partitionBy("lang")) / side).cast("int").alias("blocks"), F.ceil(F.coalesce("v", F.lit(0)) / width).cast("int").alias("slices"),
         )
         .withColumn("p0", F.when(F.col("v") > 0, share(F.lit(0).cast("long"), F.col("n") + F.col("v")))), "groups",
     )
@@ -160,12 +160,12 @@ def audit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_
     names = ["lang", "gno", "blocks", "p0", "term", "p", "slice"]
     slices = shared.withColumn("slice", F.expr("cast(pmod(xxhash64(term), slices) as int)")).select(*names)
     roster = groups.where("v > 0").select("lang", "gno", "blocks", "p0", F.lit(None).cast("string").alias("term"), F.col("p0").alias("p"), F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"))
-    block = f"cast(gno div {GROUPS} as int)"
+    block = f"cast(gno div {side} as int)"
     cells = (
         slices.union(roster).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .withColumns({"gi": F.expr(f"least({block}, other)"), "gj": F.expr(f"greatest({block}, other)")})
     )
-    parts = cells.groupBy("lang", "gi", "gj", "slice").applyInArrow(cell, "lang string, gno long, other long, part long")
+    parts = cells.groupBy("lang", "gi", "gj", "slice").applyInArrow(lambda rows: cell(rows, side), "lang string, gno long, other long, part long")
     sums = parts.groupBy("lang", "gno", "other").agg(F.sum("part").alias("part"))
     them = groups.select("lang", F.col("gno").alias("other"), F.col("source").alias("item"), F.col("p0").alias("q0"))
     pairs = (

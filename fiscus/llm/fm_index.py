@@ -23,18 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiscus.llm import windows
-from fiscus.llm.common import chunks_of, joined, prefix_sums, ranges, record, slice_hashes, stored, words_of
+from fiscus.llm.common import chunks_of, joined, ranges, record, stored, words_of
+from fiscus.llm.windows import NO_ID, word_hashes
 
 WINDOW, GRAM = 50, 8
 SHARD_BYTES = 2 << 20
-NO_ID = 2**63 - 1
-
-
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts after one another, and where each text's begin."""
-    data, at = joined(texts)
-    starts, ends, first = words_of(data, at)
-    return (slice_hashes(prefix_sums(data), starts, ends) if len(starts) else np.zeros(0, np.uint64)), first
 
 
 class WaveletMatrix:
@@ -204,20 +197,10 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_
         for rows in windows.shards(batches, 8):
             flat, at = joined(rows.column(6).combine_chunks())
             values, at = flat.copy().view(np.uint64), at // 8
-            counts = rows.column(2).to_numpy()
             _, least = FMIndex(values, at, rows.column(3).to_numpy(), window).matches(values, at)
-            owner = np.repeat(np.arange(len(counts)), np.diff(at))
-            # Adjacent windows with the same smallest id are one interval.
-            edge = np.ones(len(least), bool)
-            edge[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
-            a, b = windows.intervals(least < NO_ID, np.cumsum(edge))
-            cuts = np.searchsorted(a, at)
-            own_at = at[owner[a]] if len(a) else a
-            spans = pa.StructArray.from_arrays([pa.array(a - own_at), pa.array(b - own_at), pa.array(least[a])], names=["first", "last", "least"])
-            lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), spans)
-            yield record(["anchor", "segment", "found"], [rows.column(0).combine_chunks(), rows.column(1).combine_chunks(), lists])
+            yield windows.found_spans(rows, least, at)
 
-    results = stored(dealt.mapInArrow(run, "anchor long, segment long, found array<struct<first:long,last:long,least:long>>"), "matches")
+    results = stored(dealt.mapInArrow(run, windows.FOUND), "matches")
     return windows.spans(own, results, window)
 
 

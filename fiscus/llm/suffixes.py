@@ -10,6 +10,10 @@ The segments that are sorted together come from ``windows``: every shard holds a
 a string. Equal segments are one entry that counts as often as it occurs.
 
 A null text is empty. Rows that repeat id and text are occurrences of their strings like any others.
+
+``clean_passages`` sorts words in the same way: each distinct word of a shard is a code of three bytes
+(four if there are more than two million) of which only the first is over 127, so a suffix that begins
+with a word shares prefixes only with such suffixes.
 """
 
 from __future__ import annotations
@@ -21,9 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiscus.llm import windows
-from fiscus.llm.common import binaries, chunks_of, joined, ranges, record, stored
+from fiscus.llm.common import binaries, chunks_of, joined, ranges, record, stored, words_of
+from fiscus.llm.windows import NO_ID, word_hashes
 
 WINDOW, GRAM = 400, 24
+#: The same for passages, in words.
+WORDS, WORD_GRAM = 50, 8
 SHARD_BYTES = 1 << 20
 
 
@@ -161,15 +168,20 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, end_of: np.ndarray) ->
     return prefix
 
 
-def repeated(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
-    """Whether the window at each place also starts elsewhere; only the first ``counts`` places of each segment are asked."""
+def sorted_windows(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The whole windows at the first ``counts`` places of each segment in order, and whether each equals the one before it."""
     order = sort_suffixes(data, starts, counts, ends, window)
     end_of = np.repeat(ends, ends - starts)
     order = order[end_of[order] - order >= window]
     asked = np.zeros(len(data), bool)
     asked[ranges(starts, counts)] = True
     order = order[asked[order]]
-    equal = common_prefixes(data, order, end_of) >= window
+    return order, common_prefixes(data, order, end_of) >= window
+
+
+def repeated(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
+    """Whether the window at each place also starts elsewhere; only the first ``counts`` places of each segment are asked."""
+    order, equal = sorted_windows(data, starts, counts, ends, window)
     flags = np.zeros(len(data), bool)
     flags[order[equal]] = True
     flags[order[:-1][equal[1:]]] = True
@@ -178,9 +190,7 @@ def repeated(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, ends: np.
 
 def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(k1, k2, spans): bytes of each document that repeated strings of ``window`` bytes cover."""
-    found = stored(windows.runs(docs, joined, window, gram), "runs")
-    own = windows.members(found, among_documents=False)
-    chosen, count = windows.segments(own, window, 1, shard_bytes)
+    own, chosen, count = windows.routed(docs, joined, window, gram, 1, shard_bytes, among_documents=False)
     kept = ["anchor", "segment", "windows", "rows", "cells", "block"]
     dealt = windows.dealt(windows.contents(docs, chosen, joined, window, kept), count)
 
@@ -231,27 +241,61 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of ``df`` with their columns, their texts without what repeats; null texts stay null.
+def word_codes(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """Words as bytes of which only the first of each word is over 127, and how many bytes a word has."""
+    alphabet, codes = np.unique(values, return_inverse=True)
+    width = 3 if len(alphabet) <= 1 << 21 else 4
+    letters = codes[:, None] >> (7 * np.arange(width - 1, -1, -1))[None, :] & 127
+    letters[:, 0] += 128
+    return letters.astype(np.uint8).reshape(-1), width
+
+
+def earlier_windows(values: np.ndarray, at: np.ndarray, counts: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
+    """The smallest id that has the window of words at each place; ``NO_ID`` where no window is asked or it stands there alone."""
+    data, width = word_codes(values)
+    order, equal = sorted_windows(data, at[:-1] * width, counts * width, at[1:] * width, window * width)
+    heads = np.flatnonzero(~equal)
+    least = np.full(len(values), NO_ID)
+    if len(order):
+        owner = np.repeat(ids, np.diff(at))[order // width]
+        smallest = np.minimum.reduceat(owner, heads)[np.cumsum(~equal) - 1]
+        words = order % width == 0
+        least[order[words] // width] = smallest[words]
+    return least
 
-    Characters of which any byte is left stay whole. A text that repeats entirely becomes empty.
+
+def find_passages(docs: DataFrame, window: int = WORDS, gram: int = WORD_GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(k1, k2, spans): words of each document covered by windows that start in a document with a smaller id."""
+    own, chosen, count = windows.routed(docs, word_hashes, window, gram, 8, shard_bytes, among_documents=True)
+    kept = ["anchor", "segment", "windows", "least", "cells", "block"]
+    dealt = windows.dealt(windows.contents(docs, chosen, word_hashes, window, kept), count)
+
+    def run(batches):
+        for rows in windows.shards(batches, 8):
+            flat, at = joined(rows.column(6).combine_chunks())
+            values, at = flat.copy().view(np.uint64), at // 8
+            least = earlier_windows(values, at, rows.column(2).to_numpy(), rows.column(3).to_numpy(), window)
+            yield windows.found_spans(rows, least, at)
+
+    results = stored(dealt.mapInArrow(run, windows.FOUND), "passages")
+    return windows.spans(own, results, window)
+
+
+def cut_texts(df: DataFrame, found: DataFrame, id_col: str, text_col: str, bytes_of) -> DataFrame:
+    """The rows of ``df`` without the bytes that ``bytes_of(data, at, spans)`` marks; null texts stay null.
+
+    Characters of which any byte is left stay whole. A text of which nothing is left becomes empty.
     """
-    found = stored(find_repeats(windows.documents(df, id_col, text_col), window), "spans")
     where, width = df.columns.index(text_col), len(df.columns)
-    text, own_id = F.col(f"c{where}"), F.col(f"c{df.columns.index(id_col)}").cast("long")
+    text, own_id = F.col(f"c{where}").cast("string"), F.col(f"c{df.columns.index(id_col)}").cast("long")
     plain = df.toDF(*[f"c{i}" for i in range(width)])
     keyed = plain.withColumns({"k1": F.xxhash64(own_id, text), "k2": F.xxhash64(F.lit(1), text, own_id)})
 
     def run(batches):
         for chunk in chunks_of(batches, windows.CHUNK, where):
-            if not chunk.num_rows:
-                continue
             texts = chunk.column(where)
             data, at = joined(texts)
-            keep = np.ones(len(data), bool)
-            for begin, (s, e) in zip(at, windows.merged(chunk.column(width)), strict=False):
-                for a, b in zip(s.tolist(), e.tolist(), strict=True):
-                    keep[begin + a:begin + b] = False
+            keep = ~bytes_of(data, at, windows.merged(chunk.column(width)))
             if not keep.all():
                 heads = np.flatnonzero(data & 0xC0 != 0x80)
                 keep = np.repeat(np.maximum.reduceat(keep, heads), np.diff(np.append(heads, len(data))))
@@ -262,3 +306,40 @@ def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
 
     rows = keyed.join(found, windows.KEY, "left").select(*plain.columns, "spans")
     return rows.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
+def marked(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Flags of n places that are set in the ranges, which do not overlap."""
+    flags = np.zeros(n, bool)
+    flags[ranges(starts, ends - starts)] = True
+    return flags
+
+
+def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``df`` with their columns, their texts without strings of ``window`` bytes that stand anywhere else.
+
+    All occurrences go. Null texts stay null; a text that repeats entirely becomes empty.
+    """
+    found = stored(find_repeats(windows.documents(df, id_col, text_col), window), "spans")
+
+    def bytes_of(data, at, spans):
+        return marked(len(data), *(np.concatenate([x[i] + a for a, x in zip(at, spans, strict=False)] or [at[:0]]) for i in (0, 1)))
+
+    return cut_texts(df, found, id_col, text_col, bytes_of)
+
+
+def clean_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WORDS) -> DataFrame:
+    """The rows of ``df`` with their columns, their texts without windows of ``window`` words that start in a document with a smaller id.
+
+    The first copy stays, and every byte outside the removed passages: a passage goes from the first
+    byte of its first word to the last of its last. Windows are judged on the input. Null texts stay
+    null, rows without an id come last, and rows that repeat id and text lose the same.
+    """
+    found = stored(find_passages(windows.documents(df, id_col, text_col), window), "spans")
+
+    def bytes_of(data, at, spans):
+        starts, ends, first = words_of(data, at)
+        begin, end = (np.concatenate([x[i] + a for a, x in zip(first, spans, strict=False)] or [at[:0]]) for i in (0, 1))
+        return marked(len(data), starts[begin], ends[end - 1])
+
+    return cut_texts(df, found, id_col, text_col, bytes_of)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscus.llm.common import chunks_of, collected, partitions, prefix_sums, ranges, record, slice_hashes, stored
+from fiscus.llm.common import chunks_of, collected, joined, partitions, prefix_sums, ranges, record, slice_hashes, stored, words_of
 
 CHUNK = 3 << 20
 PLACE_BITS = 21
@@ -35,6 +35,16 @@ PREFIX_BITS = 20
 RUNS = "k1 long, k2 long, doc_id long, start long, windows long, anchor long, segment long, again boolean"
 KEY = ["k1", "k2"]
 SEGMENT = ["anchor", "segment"]
+FOUND = "anchor long, segment long, found array<struct<first:long,last:long,least:long>>"
+#: Larger than any id of a document.
+NO_ID = 2**63 - 1
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts after one another, and where each text's begin."""
+    data, at = joined(texts)
+    starts, ends, first = words_of(data, at)
+    return (slice_hashes(prefix_sums(data), starts, ends) if len(starts) else np.zeros(0, np.uint64)), first
 
 
 def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -271,6 +281,19 @@ def intervals(flags: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(begin), np.flatnonzero(last) + 1
 
 
+def found_spans(rows: pa.Table, least: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """The intervals of adjacent windows of each segment with the same smallest id, where there is one; at: where segments begin."""
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    edge = np.ones(len(least), bool)
+    edge[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
+    a, b = intervals(least < NO_ID, np.cumsum(edge))
+    cuts = np.searchsorted(a, at)
+    own_at = at[owner[a]] if len(a) else a
+    inner = pa.StructArray.from_arrays([pa.array(a - own_at), pa.array(b - own_at), pa.array(least[a])], names=["first", "last", "least"])
+    lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), inner)
+    return record(["anchor", "segment", "found"], [rows.column(0).combine_chunks(), rows.column(1).combine_chunks(), lists])
+
+
 def spans(own: DataFrame, results: DataFrame, window: int) -> DataFrame:
     """(k1, k2, spans): the symbols of each document that repeated windows cover, as (start, end) in any order.
 
