@@ -31,8 +31,8 @@ def different_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def unrepeated_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 400 bytes that occur more than once; ``n_chars`` follows the text."""
-    cleaned = suffixes.clean(docs)
+    """Texts without passages of 50 words that a document with a smaller id has; ``n_chars`` follows the text."""
+    cleaned = suffixes.clean_passages(docs)
     if "n_chars" not in cleaned.columns:
         return cleaned
     return cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
