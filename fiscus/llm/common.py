@@ -15,6 +15,15 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
+#: Bytes of a table that every task may hold for a join; a larger one is joined by a shuffle of both sides.
+TOLD = 32 << 20
+
+
+def told_if_small(df: DataFrame, size: int) -> DataFrame:
+    """``df`` with a broadcast hint if its ``size`` in bytes, which the caller has measured, is small."""
+    return F.broadcast(df) if size <= TOLD else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

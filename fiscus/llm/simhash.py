@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscus.llm.common import chunks_of, collected, ids_and_texts, partitions, ranges, record, stored
+from fiscus.llm.common import chunks_of, collected, ids_and_texts, partitions, ranges, record, stored, told_if_small
 from fiscus.llm.components import components, forest
 
 BITS = 64
@@ -169,7 +169,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     groups = near_groups(df, id_col, text_col, shingle, radius)
     kept = stored(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
     own = F.col(name).cast("long") == F.col("doc_id")
-    once = rows.join(kept.where("rows = 1"), own, "left_semi")
+    once = rows.join(told_if_small(kept.where("rows = 1"), 32 * kept.count()), own, "left_semi")
     unnamed = rows.where(F.col(name).isNull())
     done = once.union(unnamed)
     again = kept.where("rows > 1")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiscus.llm import windows
-from fiscus.llm.common import binaries, chunks_of, joined, ranges, record, stored, words_of
+from fiscus.llm.common import binaries, chunks_of, joined, ranges, record, stored, told_if_small, words_of
 from fiscus.llm.windows import NO_ID, word_hashes
 
 WINDOW, GRAM = 400, 24
@@ -304,7 +304,8 @@ def cut_texts(df: DataFrame, found: DataFrame, id_col: str, text_col: str, bytes
             columns = [*chunk.columns[:where], left, *chunk.columns[where + 1:width]]
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(width)])
 
-    rows = keyed.join(found, windows.KEY, "left").select(*plain.columns, "spans")
+    size = found.agg(F.sum(F.size("spans") * 16 + 64)).first()[0] or 0
+    rows = keyed.join(told_if_small(found, size), windows.KEY, "left").select(*plain.columns, "spans")
     return rows.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
