@@ -329,14 +329,14 @@ def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     return cut_texts(df, found, id_col, text_col, bytes_of)
 
 
-def clean_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WORDS) -> DataFrame:
+def clean_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WORDS, gram: int = WORD_GRAM) -> DataFrame:
     """The rows of ``df`` with their columns, their texts without windows of ``window`` words that start in a document with a smaller id.
 
     The first copy stays, and every byte outside the removed passages: a passage goes from the first
     byte of its first word to the last of its last. Windows are judged on the input. Null texts stay
     null, rows without an id come last, and rows that repeat id and text lose the same.
     """
-    found = stored(find_passages(windows.documents(df, id_col, text_col), window), "spans")
+    found = stored(find_passages(windows.documents(df, id_col, text_col), window, gram), "spans")
 
     def bytes_of(data, at, spans):
         starts, ends, first = words_of(data, at)
