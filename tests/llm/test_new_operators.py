@@ -9,10 +9,11 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from fiscus.llm import divergence, negatives, token_files
+from fiscus.llm import divergence, fm_index, negatives, suffixes, token_files, windows
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string"
@@ -225,3 +226,56 @@ def test_shares_of_many_occurrences_stay_exact(spark):
     cases = [(10**12, 3 * 10**12 + 7), (9 * 10**13 - 2, 9 * 10**13), (0, 1), (5, 7 * 10**13)]
     df = spark.createDataFrame(cases, "c long, t long").select(divergence.share(F.col("c"), F.col("t")))
     assert [r[0] for r in df.collect()] == [1 + 10**9 * (c + 1) // t for c, t in cases]
+
+
+# --- passages -----------------------------------------------------------------------------------
+
+
+def unrepeated(rows, window):
+    """Bytes of each text without windows of words that a smaller id has, row by row."""
+    words = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for _, t in rows]
+    least = {}
+    for (i, t), spans in zip(rows, words, strict=True):
+        data = (t or "").encode()
+        for k in range(len(spans) - window + 1):
+            key = tuple(data[a:b] for a, b in spans[k:k + window])
+            least[key] = min(least.get(key, 2**63 - 1), 2**63 - 1 if i is None else i)
+    out = []
+    for (i, t), spans in zip(rows, words, strict=True):
+        data, keep = (t or "").encode(), np.ones(len((t or "").encode()), bool)
+        for k in range(len(spans) - window + 1):
+            key = tuple(data[a:b] for a, b in spans[k:k + window])
+            if least[key] < (2**63 - 1 if i is None else i):
+                keep[spans[k][0]:spans[k + window - 1][1]] = False
+        out.append((i, None if t is None else np.frombuffer(data, np.uint8)[keep].tobytes().decode()))
+    return out
+
+
+def by_id(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+
+
+def test_passages_of_an_earlier_document_go_and_the_first_stays(spark):
+    rng = np.random.default_rng(8)
+    pool = [f"w{i}é" for i in range(9)]
+    rows = [(int(i), "  \n".join(rng.choice(pool, rng.integers(0, 60)))) for i in rng.permutation(80)]
+    rows += [(7, rows[3][1]), (None, rows[5][1]), (200, None), (201, ""), (202, rows[0][1]), (202, rows[0][1]), (203, "\t" + rows[1][1] + "\r\n end")]
+    rows += [(300, " ".join(f"x{i}" for i in range(40_000))), (301, "first " + " ".join(f"x{i}" for i in range(40_000)) + " last")]
+    df = spark.createDataFrame([(t, i, "clash", 5) for i, t in rows], "text string, doc_id long, spans string, k1 int").repartition(5)
+    for size in (2**20, 3000):
+        found = suffixes.find_passages(windows.documents(df, "doc_id", "text"), 6, 2, size)
+        assert found.count() > 0
+    got = suffixes.clean_passages(df, window=6, gram=2)
+    assert got.columns == df.columns
+    assert by_id((r.doc_id, r.text) for r in got.collect()) == by_id(unrepeated(rows, 6))
+    assert suffixes.clean_passages(df.limit(0)).count() == 0
+
+
+def test_passages_by_suffixes_are_those_of_the_index(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plain = windows.documents(docs, "doc_id", "text")
+
+    def spans_of(found):
+        return {(r.k1, r.k2): [x.tolist() for x in windows.merged(pa.array([[s.asDict() for s in r.spans]]))[0]] for r in found.collect()}
+
+    assert spans_of(suffixes.find_passages(plain)) == spans_of(fm_index.find_repeats(plain))

@@ -20,10 +20,10 @@ def test_stages_keep_columns_and_only_drop_rows(spark):
 
 def test_queries_are_registered():
     names = {n.split("_")[0] for n in entry.queries() if n.startswith("op")}
-    assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in entry.queries()
+    assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in entry.queries()
 
 
 def test_search_and_substrings_against_sql(spark):
     con = connect(SMALL)
-    for name in ("op1_search", "op2_substrings"):
+    for name in ("op1_search", "op2_substrings", "op12_negatives", "op13_divergence"):
         assert compare(entry.queries()[name](spark, SMALL), con, entry.oracle_sql()[name]) == ""
