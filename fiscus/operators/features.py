@@ -123,7 +123,7 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     })
 
 
-def _sql_text(value: str) -> str:
+def sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
@@ -156,7 +156,7 @@ def feature_stages(
     if scaled and numeric:
         scales = scale_of(fill_doubles(train, numbers), numeric)
     parts = [
-        f"coalesce(cast({c} as string), {_sql_text(texts.get(c, 'Unknown'))}) as {c}_text"
+        f"coalesce(cast({c} as string), {sql_text(texts.get(c, 'Unknown'))}) as {c}_text"
         for c in categorical
     ]
     parts += [
@@ -195,8 +195,7 @@ def feature_names(
     numeric: Sequence[str] = NUMERIC,
 ) -> list[str]:
     """Name of each position of the ``features`` vector of a fitted pipeline."""
-    indexers = [s for s in model.stages if isinstance(s, StringIndexerModel)]
-    seen = indexers[0].labelsArray if indexers else []
+    seen = [labels for s in model.stages if isinstance(s, StringIndexerModel) for labels in s.labelsArray]
     return [
         *numeric,
         *[f"{c}_{label}" for c, labels in zip(categorical, seen) for label in labels],

@@ -6,15 +6,15 @@ folder first; every pass then scans narrow Parquet, and a lost executor costs a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +28,11 @@ from fiscus.operators.features import (
     feature_names,
     feature_stages,
     known_columns,
-    with_fold,
 )
 from fiscus.operators.joins import facts_with_payers, with_months
+from fiscus.operators.products import Products, learn
 from fiscus.schemas import MEASURES
-from fiscus.session import materialize
+from fiscus.session import materialize, shared_folder
 
 # Size of the boosted trees, and the strengths tried for ridge.
 TREES = 500
@@ -47,6 +47,9 @@ FOLDS = 5
 LOG_RANGES = {"income": (5_000.0, 500_000.0), "transactions": (0.0, 500.0)}
 
 ECON = tuple(ECON_SCENARIO)
+WEIGHT = "weight"
+#: Grouped rows in a piece of the boosted trees' input.
+ROWS_EACH = 50_000
 
 
 def training_input(
@@ -164,10 +167,43 @@ def bins_for(train: DataFrame, categorical: Sequence[str] = CATEGORICAL) -> int:
     return max(MAX_BINS, *[n + 2 for n in widths])
 
 
+def grouped(train: DataFrame, inputs: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """One row for each different set of inputs: the mean of each label, and how many rows it stands for.
+
+    With squared errors a fit to these weighted means splits like one to the rows, as the spread within
+    equal inputs cannot be split. There are at most as many as inputs have combinations, however many facts.
+    """
+    fine = train
+    for label in labels:
+        fine = fine.where(F.col(label).isNotNull())
+    return fine.groupBy(*inputs).agg(*[F.avg(m).alias(m) for m in labels], F.count(F.lit(1)).cast("double").alias(WEIGHT))
+
+
 def fit_forecast(train: DataFrame, trees: int = TREES) -> PipelineModel:
-    """Boosted trees for income, transactions and tax."""
+    """Boosted trees for income, transactions and tax, on grouped rows, all three at the same time.
+
+    A round is a few short jobs, so three targets fit between one another's jobs. Their lineage is cut
+    every ten rounds in the shared folder.
+    """
+    spark = train.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "rounds"))
+    prepared = Pipeline(stages=feature_stages(train, flags=False)).fit(train)
+    groups = prepared.transform(grouped(train, (*CATEGORICAL, *NUMERIC), MEASURES))
+    rows = materialize(groups.select(FEATURES, *MEASURES, WEIGHT), "grouped")
+    # Few rows are best in few pieces: the time of a round is that of starting its tasks.
+    pieces = max(1, math.ceil(rows.count() / ROWS_EACH))
+    if rows.rdd.getNumPartitions() > pieces:
+        rows = rows.coalesce(pieces)
     bins = bins_for(train)
-    return fit_targets(train, [boosted_trees(m, trees, max_bins=bins) for m in MEASURES], flags=False)
+    rows.persist()
+    try:
+        with ThreadPoolExecutor(len(MEASURES)) as pool:
+            fits = [pool.submit(boosted_trees(m, trees, max_bins=bins).setWeightCol(WEIGHT).fit, rows) for m in MEASURES]
+            models = [f.result() for f in fits]
+    finally:
+        rows.unpersist()
+    return PipelineModel([*prepared.stages, *models])
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -185,56 +221,40 @@ def ridge_inputs(train: DataFrame) -> list[str]:
 
 
 def fit_best_ridge(train: DataFrame, label: str = "transactions", **inputs) -> PipelineModel:
-    """The ridge model of the strength that the search finds best."""
-    best = search_ridge(train, label=label, **inputs).where("best").first()["alpha"]
-    return fit_ridge(train, best, label, **inputs)
+    """The ridge model of the strength that the search finds best, from the sums the search has used."""
+    sums = ridge_products(train, label, FOLDS, **inputs)
+    scores = [sums.held_out_r2(alpha, label) for alpha in ALPHAS]
+    return sums.model({label: ALPHAS[int(np.argmax(scores))]})
 
 
-def fit_ridge(
-    train: DataFrame,
-    alpha: float = 1.0,
-    label: str = "transactions",
-    numeric: Sequence[str] | None = None,
+def ridge_products(
+    train: DataFrame, label: str, folds: int, numeric: Sequence[str] | None = None,
     categorical: Sequence[str] = CATEGORICAL,
-) -> PipelineModel:
+) -> Products:
     """``numeric``: the number inputs; by default those of the transactions model."""
-    regressor = ridge(label, alpha * ridge_strength(train, label))
-    numeric = ridge_inputs(train) if numeric is None else numeric
-    return fit_targets(train, [regressor], categorical=categorical, numeric=numeric, scaled=True)
+    wanted = (*NUMERIC, "income", *ECON) if numeric is None else numeric
+    return learn(train, [label], wanted, categorical, folds)
+
+
+def fit_ridge(train: DataFrame, alpha: float = 1.0, label: str = "transactions", **inputs) -> PipelineModel:
+    return ridge_products(train, label, 1, **inputs).model({label: alpha})
+
+
+def fit_forecast_lines(train: DataFrame, alpha: float = 1.0) -> PipelineModel:
+    """Ridge of income, transactions and tax on all inputs: three targets from one matrix of sums."""
+    return learn(train, MEASURES, NUMERIC, CATEGORICAL).model(dict.fromkeys(MEASURES, alpha))
 
 
 def search_ridge(
-    train: DataFrame,
-    alphas: Sequence[float] = ALPHAS,
-    folds: int = FOLDS,
-    label: str = "transactions",
-    numeric: Sequence[str] | None = None,
-    categorical: Sequence[str] = CATEGORICAL,
+    train: DataFrame, alphas: Sequence[float] = ALPHAS, folds: int = FOLDS,
+    label: str = "transactions", **inputs,
 ) -> DataFrame:
     """Mean R2 over the folds for each alpha, with the best one marked.
 
-    All a ridge fit needs of its rows is the matrix of products of the columns, and
-    these matrices add up: one per fold answers for every alpha and every choice of held-out
-    fold. The prepared rows are stored by fold, so that each matrix reads its own fold and the
-    rows are read once in all. What remains is solving systems as wide
-    as the feature vector. Numbers are scaled anew for each choice, by the spread of the rows
-    that are fitted on. Folds come from a digest of the row key, so they do not depend on how
-    rows are spread.
+    Fills, scales and categories are learned anew for each held-out fold, from the others alone.
     """
-    numeric = ridge_inputs(train) if numeric is None else list(numeric)
-    prepared = Pipeline(stages=[
-        *feature_stages(train, categorical, numeric, scaled=True),
-        SQLTransformer(statement="select *, 1.0D as one from __THIS__"),
-        VectorAssembler(inputCols=[FEATURES, label, "one"], outputCol="row"),
-    ]).fit(train)
-    rows = with_fold(prepared.transform(train.where(F.col(label).isNotNull())), folds)
-    rows = materialize(rows.select("row", "fold"), "folds", "fold")
-    products = [_products(rows.where(F.col("fold") == k)) for k in range(folds)]
-    everything = sum(products)
-    scores = [
-        float(np.mean([_held_out_r2(everything - p, p, alpha, len(numeric)) for p in products]))
-        for alpha in alphas
-    ]
+    sums = ridge_products(train, label, folds, **inputs)
+    scores = [sums.held_out_r2(alpha, label) for alpha in alphas]
     best = int(np.argmax(scores))
     return train.sparkSession.createDataFrame(
         [(float(a), r2, i == best) for i, (a, r2) in enumerate(zip(alphas, scores))],
@@ -242,33 +262,6 @@ def search_ridge(
     )
 
 
-def _products(rows: DataFrame) -> np.ndarray:
-    """Sum of the outer products of the ``row`` vectors (features, label, 1)."""
-    plain = MLUtils.convertVectorColumnsFromML(rows.select("row"), "row")
-    return RowMatrix(plain).computeGramianMatrix().toArray()
-
-
-def _held_out_r2(fitted_on: np.ndarray, held_out: np.ndarray, alpha: float, scaled: int) -> float:
-    """R2 on ``held_out`` of the ridge line through ``fitted_on``; no penalty on the level.
-
-    The first ``scaled`` features are numbers: a penalty on the slope of a scaled number is one on
-    the slope times the number's deviation.
-    """
-    n, sums = fitted_on[-1, -1], fitted_on[-1, :-1]
-    centred = fitted_on[:-1, :-1] - np.outer(sums, sums) / n
-    width = len(sums) - 1
-    penalty = np.ones(width)
-    variance = np.diag(centred)[:scaled] / n
-    penalty[:scaled] = np.where(variance > 0, variance, 1.0)
-    slope = np.linalg.solve(centred[:-1, :-1] + alpha * np.diag(penalty), centred[:-1, -1])
-    level = (sums[-1] - sums[:-1] @ slope) / n
-    # Residual = label - slope * features - level, as weights of the stored columns.
-    weights = np.concatenate([-slope, [1.0, -level]])
-    residual = weights @ held_out @ weights
-    spread = held_out[-2, -2] - held_out[-1, -2] ** 2 / held_out[-1, -1]
-    return 1.0 - residual / spread
-
-
 def coefficients(
     model: PipelineModel, spark, numeric: Sequence[str], categorical: Sequence[str] = CATEGORICAL
 ) -> DataFrame:

@@ -27,8 +27,8 @@ from fiscus.plans.relational import (
 )
 from fiscus.plans.storage import GROWTH_ROWS_SQL
 from fiscus.schemas import MEASURES
-from fiscus.session import materialize, shared_folder
-from fiscus.sources import marts
+from fiscus.session import shared_folder
+from fiscus.sources import marts, metadata
 from fiscus.sources.warehouse import Warehouse
 
 GROWTH_NAMES = [f"{m}_growth" for m in MEASURES]
@@ -42,7 +42,7 @@ def history(db: Warehouse, inn: str | None = None) -> DataFrame:
 
 @question("q_payer", f"select * from taxpayer where inn = '{ONE_INN}'", views="taxpayer")
 def q_payer(db: Warehouse) -> DataFrame:
-    return P.payer_by_inn(db.taxpayer, ONE_INN)
+    return P.payer_by_inn(db.stored_payers, ONE_INN)
 
 
 MONTHS_SQL = f"""
@@ -139,7 +139,7 @@ MONTHLY_MEDIAN_SQL = f"""
 
 def monthly_median(db: Warehouse, *wanted) -> DataFrame:
     path = shared_folder(db.spark, "monthly-median")
-    rows = marts.monthly_median_summary(db.monthly_tax, db.predict, path, *wanted)
+    rows = marts.monthly_median_summary(db.stored_facts, db.stored_predicted, path, *wanted, stored=True)
     return public(rounded(rows.drop("created_at"), *MEASURES))
 
 
@@ -192,7 +192,7 @@ def growth_names_sql(rows: str) -> str:
 
 def growth_of(db: Warehouse, mode: str, *wanted) -> DataFrame:
     path = shared_folder(db.spark, f"growth-{mode}")
-    return marts.growth_summary(db.monthly_tax, db.predict, path, mode, *wanted)
+    return marts.growth_summary(db.stored_facts, db.stored_predicted, path, mode, *wanted, stored=True)
 
 
 @question("q_growth_general", f"""
@@ -252,8 +252,7 @@ def q_growth_median_type(db: Warehouse) -> DataFrame:
       round(median(cast(tax as double)), 4) as "MedianTax"
     from predict group by mon""", views="predict")
 def q_predict_profile(db: Warehouse) -> DataFrame:
-    # Both halves read the same rows, so they are worked out once.
-    predictions = materialize(db.predict.select("mon", *MEASURES), "predictions")
+    predictions = db.stored_predicted
     sums = public(as_totals(A.month_profile(predictions)))
     medians = A.month_profile(predictions, "median", stored=True)
     medians = rounded(medians, *MEASURES).withColumnsRenamed({
@@ -271,7 +270,7 @@ def q_payer_count(db: Warehouse) -> DataFrame:
 
 @question("q_year_range", YEARS_SQL, views="monthly_tax")
 def q_year_range(db: Warehouse) -> DataFrame:
-    return A.year_range(db.monthly_tax).withColumn("years", F.array_join("years", ","))
+    return metadata.year_range(db.spark, db.facts_folder).withColumn("years", F.array_join("years", ","))
 
 
 PAGE_SQL = """
@@ -328,5 +327,5 @@ def q_payers_page_summary(db: Warehouse) -> DataFrame:
       concat('https://api.dicebear.com/7.x/initials/svg?seed=', full_name) as avatar_src
     from taxpayer where inn = '{ONE_INN}'""", views="taxpayer")
 def q_payer_profile(db: Warehouse) -> DataFrame:
-    cards = P.user_records(P.normalize_types(P.profile_by_inn(db.taxpayer, ONE_INN)))
+    cards = P.user_records(P.normalize_types(P.profile_by_inn(db.stored_payers, ONE_INN)))
     return cards.select("*", F.col("avatar.src").alias("avatar_src")).drop("avatar")

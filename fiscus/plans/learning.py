@@ -1,10 +1,9 @@
 """Features, models and forecasts.
 
-Forecasts are scored with least squares on two numbers, which SQL can solve too, so their values
-are checked; scoring does not depend on the kind of model. Fits on all inputs have no SQL twin; the
-same flows on two inputs (``..._two_inputs``) have.
-A question on the boosted trees is not registered: 500 rounds for three targets take too long
-for test data, and fewer would be another model. ``models.fit_forecast`` fits them.
+Forecast models are stored under a key of the data's version and their settings, and looked up before
+any fit. Values are checked with least squares on two numbers, which SQL can solve too; scoring does not
+depend on the kind of model. Fits on all nine inputs have no SQL twin: SQL checks the rows they score
+(``..._shape``), numpy their coefficients, and the same flows on two inputs (``..._two_inputs``) their values.
 """
 
 from __future__ import annotations
@@ -28,6 +27,8 @@ from fiscus.plans.relational import PAYERS_BY_TYPE_SQL
 from fiscus.plans.rule_checks import KEYS, KEYS_SQL, SEASON_SQL, facts_of_payers
 from fiscus.schemas import MEASURES
 from fiscus.session import materialize, shared_folder
+from fiscus.sources import metadata
+from fiscus.sources.store import Store
 from fiscus.sources.warehouse import Warehouse
 
 ONE_INN = "100000000007"
@@ -50,21 +51,34 @@ def training(db: Warehouse) -> DataFrame:
     """The stored model input; one per run, as stored tables are not kept between runs."""
     with _FITTING:
         if db not in _TRAINING:
-            _TRAINING[db] = M.training_input(db.monthly_tax, db.taxpayer, db.econ)
+            _TRAINING[db] = M.training_input(db.stored_facts, db.taxpayer, db.econ)
         return _TRAINING[db]
 
 
+FORECAST_ALPHA = 1.0
 LINES = {"income": ["yr", "mon"], "transactions": ["yr", "mon"], "tax": ["yr", "mon"]}
 
 
 def plain_rows(db: Warehouse) -> DataFrame:
     doubles = {m: F.col(m).cast("double") for m in MEASURES}
-    return materialize(db.monthly_tax.select(*KEYS, *MEASURES).withColumns(doubles), "plain-rows")
+    return db.stored_facts.select(*KEYS, *MEASURES).withColumns(doubles)
 
 
 def forecast_model(db: Warehouse) -> PipelineModel:
     """A line in year and month for each target."""
-    return fitted(db, "forecast", lambda: M.fit_lines(plain_rows(db), LINES))
+    return Store(db.spark).model("lines", [db.folder, db.version, LINES], lambda: M.fit_lines(plain_rows(db), LINES))
+
+
+def full_model(db: Warehouse) -> PipelineModel:
+    """Ridge on all nine inputs for each target."""
+    settings = [db.folder, db.version, X.NUMERIC, X.CATEGORICAL, FORECAST_ALPHA]
+    return Store(db.spark).model("ridge", settings, lambda: M.fit_forecast_lines(M.training_input(db.stored_facts, db.taxpayer), FORECAST_ALPHA))
+
+
+def trees_model(db: Warehouse) -> PipelineModel:
+    """Boosted trees on all nine inputs for each target, learned from the training rows."""
+    settings = [db.folder, db.version, X.NUMERIC, X.CATEGORICAL, M.TREES, M.TREE_DEPTH, M.LEARNING_RATE, M.SEED]
+    return Store(db.spark).model("trees", settings, lambda: M.fit_forecast(X.split_train_test(training(db))[0]))
 
 
 def line_sql(rows: str, label: str, x: str, z: str, name: str) -> str:
@@ -103,11 +117,11 @@ OWN_YEAR_SQL = grid_sql(f"""select *, cast((select max(yr) from monthly_tax o wh
 
 
 def coming_year(db: Warehouse) -> int:
-    return C.next_year(db.monthly_tax)
+    return max(metadata.stored_years(db.spark, db.facts_folder)) + 1
 
 
 def payers_of(db: Warehouse) -> DataFrame:
-    return J.payers_by_tax_type(db.monthly_tax, db.taxpayer)
+    return J.payers_by_tax_type(db.stored_facts, db.taxpayer)
 
 
 # ------------------------------------------------------------------ features
@@ -216,6 +230,11 @@ def quality(db: Warehouse, model: PipelineModel, labels=MEASURES) -> DataFrame:
     return R.regression_metrics(M.labelled_predictions(model, test, labels), by=["target"])
 
 
+@question("gbt_train")
+def gbt_train(db: Warehouse) -> DataFrame:
+    return quality(db, trees_model(db))
+
+
 @question("ridge_train")
 def ridge_train(db: Warehouse) -> DataFrame:
     train = X.split_train_test(training(db))[0]
@@ -482,7 +501,7 @@ def shape(monthly: DataFrame, *names: str) -> DataFrame:
 
 @question("score_grid_shape", SHAPE_SQL, views="monthly_tax taxpayer")
 def score_grid_shape(db: Warehouse) -> DataFrame:
-    return shape(score_grid(db), *C.PREDICTED)
+    return shape(C.score_grid(full_model(db), payers_of(db), coming_year(db)), *C.PREDICTED)
 
 
 @question("score_grid_yearly", f"""
@@ -525,8 +544,8 @@ def score_chained(db: Warehouse) -> DataFrame:
 
 @question("score_chained_shape", SHAPE_SQL, views="monthly_tax taxpayer")
 def score_chained_shape(db: Warehouse) -> DataFrame:
-    # Tax is not cut at zero in the chained forecast.
-    return shape(score_chained(db), "predicted_income")
+    # All inputs and the economy; tax is not cut at zero in the chained forecast.
+    return shape(C.score_chained(*chained_models(db), payers_of(db), coming_year(db)), "predicted_income")
 
 
 @question("predict_freshness", """
@@ -535,19 +554,30 @@ def score_chained_shape(db: Warehouse) -> DataFrame:
       (select max(yr) from predict) <= (select max(yr) from monthly_tax) as stale""",
     views="monthly_tax predict")
 def predict_freshness(db: Warehouse) -> DataFrame:
-    return C.freshness(db.monthly_tax, db.predict)
+    return metadata.freshness(db.spark, db.facts_folder, db.predicted_folder)
 
 
 @question("q_predict_inn", f"with {LINES_SQL} select * from ({OWN_YEAR_SQL}) where inn = '{ONE_INN}'",
           views="monthly_tax taxpayer")
 def q_predict_inn(db: Warehouse) -> DataFrame:
-    own = db.of_payer(ONE_INN)
-    return C.score_payers(forecast_model(db), own.monthly_tax, own.taxpayer, ONE_INN)
+    return C.score_payers(forecast_model(db), db.stored_facts, db.stored_payers, ONE_INN)
+
+
+@question("q_predict_inn_full_shape", f"""
+    select tax_type, cast((select max(yr) from monthly_tax o where o.taxpayer_id = p.taxpayer_id) + 1 as int) as yr,
+      count(*) as n_months, cast(1 as bigint) as n_payers
+    from ({PAYERS_BY_TYPE_SQL}) p, (values (1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12)) months(mon)
+    where inn = '{ONE_INN}' group by all""", views="monthly_tax taxpayer")
+def q_predict_inn_full_shape(db: Warehouse) -> DataFrame:
+    scored = C.score_payers(full_model(db), db.stored_facts, db.stored_payers, ONE_INN)
+    return scored.where("predicted_income >= 0").groupBy("tax_type", "yr").agg(
+        F.count(F.lit(1)).alias("n_months"), F.count_distinct("taxpayer_id").alias("n_payers")
+    )
 
 
 @question("q_predict_all", f"with {LINES_SQL} {OWN_YEAR_SQL}", views="monthly_tax taxpayer")
 def q_predict_all(db: Warehouse) -> DataFrame:
-    return C.score_payers(forecast_model(db), db.monthly_tax, db.taxpayer)
+    return C.score_payers(forecast_model(db), db.stored_facts, db.taxpayer)
 
 
 @question("q_predict_all_shape", f"""
@@ -557,7 +587,8 @@ def q_predict_all(db: Warehouse) -> DataFrame:
     qualify row_number() over (partition by m.taxpayer_id, m.tax_type order by m.yr) = 1""",
     views="monthly_tax taxpayer")
 def q_predict_all_shape(db: Warehouse) -> DataFrame:
-    return q_predict_all(db).groupBy("inn", "tax_type", F.col("yr").alias("prediction_year")).agg(
+    scored = C.score_payers(full_model(db), db.stored_facts, db.taxpayer)
+    return scored.groupBy("inn", "tax_type", F.col("yr").alias("prediction_year")).agg(
         F.count(F.lit(1)).alias("n_months")
     )
 
@@ -567,10 +598,14 @@ def q_predict_all_shape(db: Warehouse) -> DataFrame:
       predicted_transactions as transactions, predicted_tax as tax, tax_type, taxpayer_type, activity_type,
       registration_district, has_employees, employees_count from ({GRID_SQL})""", views="monthly_tax taxpayer")
 def q_refresh_forecast(db: Warehouse) -> DataFrame:
+    return refreshed(db, forecast_model(db))
+
+
+def refreshed(db: Warehouse, model: PipelineModel) -> DataFrame:
     path = shared_folder(db.spark, "predict")
-    C.refresh_forecast(forecast_model(db), db.monthly_tax, db.taxpayer, path)
+    C.refresh_forecast(model, db.stored_facts, db.taxpayer, path)
     # The second call finds the forecast current and leaves it alone.
-    return C.refresh_forecast(forecast_model(db), db.monthly_tax, db.taxpayer, path)
+    return C.refresh_forecast(model, db.stored_facts, db.taxpayer, path)
 
 
 @question("q_refresh_forecast_shape", f"""
@@ -579,7 +614,7 @@ def q_refresh_forecast(db: Warehouse) -> DataFrame:
       (values (1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12)) months(mon))
     group by yr, tax_type""", views="monthly_tax taxpayer")
 def q_refresh_forecast_shape(db: Warehouse) -> DataFrame:
-    per_payer = q_refresh_forecast(db).groupBy("yr", "tax_type", "taxpayer_id").agg(
+    per_payer = refreshed(db, full_model(db)).groupBy("yr", "tax_type", "taxpayer_id").agg(
         F.count(F.lit(1)).alias("n")
     )
     return per_payer.groupBy("yr", "tax_type").agg(

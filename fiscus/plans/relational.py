@@ -15,7 +15,7 @@ from fiscus.operators import naming as N
 from fiscus.operators import paging as L
 from fiscus.plans.catalogue import question
 from fiscus.schemas import MEASURES, PREDICT
-from fiscus.sources import tables
+from fiscus.sources import metadata, tables
 from fiscus.sources.warehouse import Warehouse
 
 ONE_INN = "100000000007"
@@ -111,7 +111,7 @@ def mart_lookup(db: Warehouse) -> DataFrame:
 
 @question("point_lookup_all", f"select * from taxpayer where inn = '{ONE_INN}'", views="taxpayer")
 def point_lookup_all(db: Warehouse) -> DataFrame:
-    return P.payer_by_inn(db.taxpayer, ONE_INN)
+    return P.payer_by_inn(db.stored_payers, ONE_INN)
 
 
 @question("point_lookup_profile", f"""
@@ -119,7 +119,7 @@ def point_lookup_all(db: Warehouse) -> DataFrame:
       registration_district, has_employees, employees_count
     from taxpayer where inn = '{ONE_INN}'""", views="taxpayer")
 def point_lookup_profile(db: Warehouse) -> DataFrame:
-    return P.profile_by_inn(db.taxpayer, ONE_INN)
+    return P.profile_by_inn(db.stored_payers, ONE_INN)
 
 
 @question("filter_contains", "select taxpayer_id, inn from taxpayer where inn like '%42%'",
@@ -317,7 +317,7 @@ def yearly_sum(db: Warehouse) -> DataFrame:
 @question("yearly_median", f"select yr, {MEDIANS_SQL} from monthly_tax group by yr",
           views="monthly_tax")
 def yearly_median(db: Warehouse) -> DataFrame:
-    return rounded(A.yearly(db.monthly_tax, "median"), *MEASURES)
+    return rounded(A.yearly(db.stored_facts, "median", stored=True), *MEASURES)
 
 
 @question("monthly_sum", f"select yr, mon, {SUMS_SQL} from monthly_tax group by yr, mon",
@@ -329,7 +329,7 @@ def monthly_sum(db: Warehouse) -> DataFrame:
 @question("monthly_median", f"select yr, mon, {MEDIANS_SQL} from monthly_tax group by yr, mon",
           views="monthly_tax")
 def monthly_median(db: Warehouse) -> DataFrame:
-    return rounded(A.monthly(db.monthly_tax, "median"), *MEASURES)
+    return rounded(A.monthly(db.stored_facts, "median", stored=True), *MEASURES)
 
 
 @question("yearly_by_type_with_total", f"""
@@ -343,7 +343,7 @@ def yearly_by_type_with_total(db: Warehouse) -> DataFrame:
     select yr, tax_type, {MEDIANS_SQL} from monthly_tax
     group by grouping sets ((yr), (yr, tax_type))""", views="monthly_tax")
 def yearly_median_by_type_with_total(db: Warehouse) -> DataFrame:
-    return rounded(A.by_type_with_total(db.monthly_tax, "median"), *MEASURES)
+    return rounded(A.by_type_with_total(db.stored_facts, "median", stored=True), *MEASURES)
 
 
 @question("yearly_growth_by_type", f"""
@@ -362,13 +362,13 @@ def payer_count(db: Warehouse) -> DataFrame:
 
 @question("distinct_years", "select distinct yr from monthly_tax order by yr", views="monthly_tax")
 def distinct_years(db: Warehouse) -> DataFrame:
-    return A.distinct_years(db.monthly_tax)
+    return metadata.distinct_years(db.spark, db.facts_folder)
 
 
 @question("max_year", "select max(yr) as max_year, max(yr) + 1 as next_year from monthly_tax",
           views="monthly_tax")
 def max_year(db: Warehouse) -> DataFrame:
-    return A.last_year(db.monthly_tax).withColumn("next_year", F.col("max_year") + 1)
+    return metadata.last_year(db.spark, db.facts_folder).withColumn("next_year", F.col("max_year") + 1)
 
 
 YEARS_SQL = """
@@ -379,7 +379,7 @@ YEARS_SQL = """
 
 @question("year_range", YEARS_SQL, views="monthly_tax")
 def year_range(db: Warehouse) -> DataFrame:
-    return A.year_range(db.monthly_tax).withColumn("years", F.array_join("years", ","))
+    return metadata.year_range(db.spark, db.facts_folder).withColumn("years", F.array_join("years", ","))
 
 
 @question("latest_year_total", """
@@ -412,7 +412,7 @@ def month_profile_sum(db: Warehouse) -> DataFrame:
 @question("month_profile_median", f"select mon, {MEDIANS_SQL} from predict group by mon",
           views="predict")
 def month_profile_median(db: Warehouse) -> DataFrame:
-    return rounded(A.month_profile(db.predict, "median"), *MEASURES)
+    return rounded(A.month_profile(db.stored_predicted, "median", stored=True), *MEASURES)
 
 
 @question("distinct_payers", """

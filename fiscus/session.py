@@ -29,8 +29,8 @@ def local_session(app: str, cores: int = 8, shuffle_partitions: int = 8) -> Spar
     )
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the one the cluster names in ``spark.checkpoint.dir``.
+def shared_base(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
     Every executor must see it, so a machine-local folder is only ever used when the
     whole session is one machine.
@@ -44,7 +44,12 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         if app not in _LOCAL_SCRATCH:
             _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="fiscus-")
         base = _LOCAL_SCRATCH[app]
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder below the shared one."""
+    return f"{shared_base(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:

@@ -25,6 +25,22 @@ def write_facts(facts: DataFrame, path: str) -> None:
     ordered.write.mode("overwrite").partitionBy("yr").parquet(path)
 
 
+def write_payers(payers: DataFrame, path: str, group_bytes: int = 8 << 20) -> None:
+    """Store payers in ranges of their INN, with a bloom filter on it in each row group.
+
+    A look-up of one INN reads the row groups whose range holds it, and of these only the ones whose
+    filter does not rule it out. ``group_bytes``: size of a row group.
+    """
+    (
+        payers.repartitionByRange("inn", "taxpayer_id").sortWithinPartitions("inn", "taxpayer_id")
+        .write.mode("overwrite")
+        .option("parquet.bloom.filter.enabled#inn", "true")
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
+        .option("parquet.block.size", str(group_bytes))
+        .parquet(path)
+    )
+
+
 def run_sql(
     spark: SparkSession,
     query: str,

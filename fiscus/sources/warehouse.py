@@ -12,7 +12,13 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fiscus.schemas import MONTHLY_TAX, TAXPAYER
 from fiscus.session import materialize
+from fiscus.sources import files, tables
+from fiscus.sources.store import Store
+
+#: The tables that payers and facts are made of.
+BASES = ("customer", "nation", "region", "orders", "lineitem")
 
 LAST_REAL_YEAR = 2000
 PREDICTED_YEAR = 2001
@@ -192,6 +198,39 @@ class Warehouse:
         """The same tables of one payer."""
         return OnePayer(self.spark, self.folder, inn)
 
+    @cached_property
+    def version(self) -> str:
+        """Changes with the files of the tables; they are listed, not read."""
+        return files.data_version(self.spark, *[f"{self.folder}/{t}.parquet" for t in BASES])
+
+    def _kept(self, kind: str, write) -> str:
+        store = Store(self.spark)
+        return store.get(store.place(kind, self.folder, self.version), write)
+
+    @cached_property
+    def facts_folder(self) -> str:
+        """Where the recorded facts are stored by year; stored once for each version of the tables."""
+        return self._kept("facts", lambda path: tables.write_facts(self.monthly_tax, path))
+
+    @cached_property
+    def predicted_folder(self) -> str:
+        """The same for the predicted year."""
+        return self._kept("predicted", lambda path: tables.write_facts(self.predict.select(*MONTHLY_TAX.names), path))
+
+    @cached_property
+    def stored_facts(self) -> DataFrame:
+        return tables.read_table(self.spark, self.facts_folder, MONTHLY_TAX).select(*MONTHLY_TAX.names)
+
+    @cached_property
+    def stored_predicted(self) -> DataFrame:
+        return tables.read_table(self.spark, self.predicted_folder, MONTHLY_TAX).select(*MONTHLY_TAX.names)
+
+    @cached_property
+    def stored_payers(self) -> DataFrame:
+        """Payers by INN, for look-ups."""
+        path = self._kept("payers", lambda path: tables.write_payers(self.taxpayer, path))
+        return tables.read_table(self.spark, path, TAXPAYER)
+
     @cached_property
     def tax_all(self) -> DataFrame:
         return self.facts()
@@ -255,10 +294,15 @@ class OnePayer(Warehouse):
     def __init__(self, spark: SparkSession, folder: str, inn: str):
         super().__init__(spark, folder)
         self.inn = inn
+        # What is kept is kept of all payers.
+        self.whole = Warehouse(spark, folder)
 
     @cached_property
     def taxpayer(self) -> DataFrame:
-        return super().taxpayer.where(F.col("inn") == F.lit(self.inn))
+        return self.whole.stored_payers.where(F.col("inn") == F.lit(self.inn))
+
+    def _kept(self, kind: str, write) -> str:
+        raise ValueError("ask the whole warehouse for stored tables")
 
     @cached_property
     def _orders(self) -> DataFrame:

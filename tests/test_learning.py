@@ -145,26 +145,66 @@ def test_ridge_search(train):
     assert best["alpha"] != 100000.0
 
 
-def test_ridge_search_equals_fitting_each_fold(train):
+def test_ridge_search_equals_a_pipeline_for_each_fold(train, spark):
+    # Nulls in a category and in numbers, so that what fills them differs from fold to fold.
+    holes = train.withColumns({
+        "activity_type": F.when(F.crc32(F.concat_ws("|", *X.FACT_KEY)) % 3 != 0, F.col("activity_type")),
+        "income": F.when(F.crc32(F.concat_ws("|", "mon", *X.FACT_KEY)) % 4 != 0, F.col("income")),
+    })
     alphas, folds = (0.5, 20.0), 3
-    found = {r["alpha"]: r["mean_r2"] for r in M.search_ridge(train, alphas, folds).collect()}
-    fitted = Pipeline(stages=X.feature_stages(train, numeric=M.ridge_inputs(train), scaled=True)).fit(train)
-    rows = X.with_fold(fitted.transform(train), folds).select(X.FEATURES, "transactions", "fold").collect()
-    x, y = np.array([r[0].toArray() for r in rows]), np.array([r[1] for r in rows])
-    fold = np.array([r[2] for r in rows])
+    found = {r["alpha"]: r["mean_r2"] for r in M.search_ridge(holes, alphas, folds).collect()}
+    numbers = M.ridge_inputs(holes)
+    rows, scores = X.with_fold(holes, folds), {a: [] for a in alphas}
+    for k in range(folds):
+        fitted_on, held_out = rows.where(F.col("fold") != k).persist(), rows.where(F.col("fold") == k)
+        stages = Pipeline(stages=X.feature_stages(fitted_on, numeric=numbers, scaled=True)).fit(fitted_on)
+        (xa, ya), (xb, yb) = (
+            (np.array([r[0].toArray() for r in got]), np.array([r[1] for r in got]))
+            for got in (stages.transform(part).select(X.FEATURES, "transactions").collect() for part in (fitted_on, held_out))
+        )
+        for alpha in alphas:
+            xc, yc = xa - xa.mean(0), ya - ya.mean()
+            beta = np.linalg.solve(xc.T @ xc + alpha * np.eye(xa.shape[1]), xc.T @ yc)
+            guess = (xb - xa.mean(0)) @ beta + ya.mean()
+            scores[alpha].append(1 - ((yb - guess) ** 2).sum() / ((yb - yb.mean()) ** 2).sum())
+        fitted_on.unpersist()
     for alpha in alphas:
-        scores = []
-        for k in range(folds):
-            a, b = fold != k, fold == k
-            # Numbers are scaled by the rows that are fitted on, never by the held-out ones.
-            z, numbers = x.copy(), len(M.ridge_inputs(train))
-            deviation = x[a][:, :numbers].std(0)
-            z[:, :numbers] /= np.where(deviation > 0, deviation, 1.0)
-            xc, yc = z[a] - z[a].mean(0), y[a] - y[a].mean()
-            beta = np.linalg.solve(xc.T @ xc + alpha * np.eye(x.shape[1]), xc.T @ yc)
-            guess = (z[b] - z[a].mean(0)) @ beta + y[a].mean()
-            scores.append(1 - ((y[b] - guess) ** 2).sum() / ((y[b] - y[b].mean()) ** 2).sum())
-        assert found[alpha] == pytest.approx(np.mean(scores), abs=1e-9)
+        assert found[alpha] == pytest.approx(np.mean(scores[alpha]), abs=1e-8)
+
+
+def test_three_targets_from_one_matrix(train, folder):
+    model = M.fit_forecast_lines(train, 2.0)
+    model.write().save(folder("lines"))
+    again = M.load_model(folder("lines"))
+    rows = again.transform(train).select(X.FEATURES, "income", "transactions", "tax", *C.PREDICTED).toPandas()
+    x = np.stack([v.toArray() for v in rows[X.FEATURES]])
+    xc = x - x.mean(0)
+    for m in ("income", "transactions", "tax"):
+        y = rows[m].to_numpy()
+        beta = np.linalg.solve(xc.T @ xc + 2.0 * np.eye(x.shape[1]), xc.T @ (y - y.mean()))
+        assert np.allclose(rows[f"predicted_{m}"], xc @ beta + y.mean(), rtol=1e-7)
+
+
+def test_forecasts_differ_between_payers(train, facts, payers):
+    from fiscus.operators.joins import payers_by_tax_type
+
+    grid = C.score_grid(M.fit_forecast_lines(train), payers_by_tax_type(facts, payers), 2022)
+    assert grid.where("mon = 3").select("predicted_income").distinct().count() > 1
+
+
+def test_grouped_rows_give_the_same_trees(spark, train):
+    twice = train.unionByName(train.withColumn("income", F.col("income") + 10.0))
+    prepared = Pipeline(stages=X.feature_stages(twice, flags=False)).fit(twice)
+    plain = prepared.transform(twice)
+    groups = prepared.transform(M.grouped(twice, (*X.CATEGORICAL, *X.NUMERIC), ["income"])).coalesce(1)
+    assert groups.agg(F.sum(M.WEIGHT)).first()[0] == twice.count() and groups.count() < twice.count()
+    bins = M.bins_for(twice)
+    a = M.boosted_trees("income", 6, max_bins=bins).fit(plain)
+    b = M.boosted_trees("income", 6, max_bins=bins).setWeightCol(M.WEIGHT).fit(groups)
+    both = b.transform(a.transform(plain).withColumnRenamed("predicted_income", "p")).where("abs(predicted_income - p) > 1e-6 * abs(p)")
+    assert both.count() == 0
+    errors = b.evaluateEachIteration(plain.withColumn(M.WEIGHT, F.lit(1.0)), "squared")
+    assert all(x >= y for x, y in zip(errors, errors[1:]))
 
 
 def test_coefficients_are_ranked_by_size(spark):
