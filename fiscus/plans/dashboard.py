@@ -26,7 +26,7 @@ from fiscus.plans.relational import (
     rounded,
 )
 from fiscus.plans.storage import GROWTH_ROWS_SQL
-from fiscus.schemas import MEASURES
+from fiscus.schemas import MEASURES, YEARLY_GROWTH
 from fiscus.session import shared_folder
 from fiscus.sources import marts, metadata
 from fiscus.sources.warehouse import Warehouse
@@ -243,6 +243,24 @@ def q_growth_median_type(db: Warehouse) -> DataFrame:
     return median_growth(db, "5-LOW", 1996, 2000)
 
 
+@question("growth_marts_together", f"""
+    select 'yearly_growth_general' as mart, * from ({GROWTH_ROWS_SQL})
+    union all
+    select 'yearly_growth_median', * replace (round(income_total, 4) as income_total, round(tax_total, 4) as tax_total,
+      round(transaction_total, 4) as transaction_total, round(income_growth, 4) as income_growth,
+      round(tax_growth, 4) as tax_growth, round(transactions_growth, 4) as transactions_growth)
+    from ({MEDIAN_GROWTH_ROWS_SQL})""", views="tax_all")
+def growth_marts_together(db: Warehouse) -> DataFrame:
+    path = shared_folder(db.spark, "growth-marts")
+    marts.fill_growth_marts(db.stored_facts, db.stored_predicted, path, stored=True)
+    # The second fill finds every key and commits nothing.
+    both = marts.fill_growth_marts(db.stored_facts, db.stored_predicted, path, stored=True)
+    sums, medians = (
+        both.read(name, YEARLY_GROWTH).select(F.lit(name).alias("mart"), "*") for name in marts.GROWTH_MARTS
+    )
+    return sums.unionByName(rounded(medians, *[n for n in YEARLY_GROWTH.names if n not in marts.GROWTH_KEYS]))
+
+
 @question("q_predict_profile", """
     select mon as "Month", cast(sum(income) as double) as "TotalIncome",
       cast(sum(transactions) as bigint) as "TotalTransactions",

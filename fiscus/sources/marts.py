@@ -26,6 +26,8 @@ from fiscus.schemas import (
     PREDICT,
     YEARLY_GROWTH,
 )
+from fiscus.session import materialize
+from fiscus.sources.commits import Tables
 
 GROWTH_KEYS = ("yr", "tax_type")
 MEDIAN_KEYS = ("yr", "mon", "tax_type")
@@ -151,6 +153,18 @@ def monthly_median_summary(
     return found.withColumnsRenamed(MEDIAN_MART)
 
 
+#: The two growth marts, which are filled in one commit, and how each is aggregated.
+GROWTH_MARTS = {"yearly_growth_general": "sum", "yearly_growth_median": "median"}
+
+
+def fill_growth_marts(real: DataFrame, predicted: DataFrame, root: str, stored: bool = False) -> Tables:
+    """Sums and medians with their growth: both marts get what they lack, or neither changes."""
+    marts = Tables(real.sparkSession, root)
+    rows = {name: materialize(yearly_growth_rows(real, predicted, mode, stored), name) for name, mode in GROWTH_MARTS.items()}
+    marts.merge_absent(rows, dict.fromkeys(rows, YEARLY_GROWTH), GROWTH_KEYS)
+    return marts
+
+
 def replace_year(forecast: DataFrame, path: str) -> DataFrame:
     """Store a forecast, replacing exactly the years it covers.
 
