@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fiscus.functions.scalars import ceil_div
@@ -14,8 +14,8 @@ SORTABLE = (
 )
 
 
-def order_by(df: DataFrame, sort_by: str = "taxpayer_id", sort_order: str = "asc") -> DataFrame:
-    """Sort by an allow-listed column; the id breaks ties so pages never overlap."""
+def order_columns(sort_by: str = "taxpayer_id", sort_order: str = "asc") -> list[Column]:
+    """An allow-listed column, then the id, which breaks ties so that pages never overlap."""
     if sort_by not in SORTABLE:
         raise ValueError(f"cannot sort by {sort_by!r}")
     direction = sort_order.upper()
@@ -24,7 +24,11 @@ def order_by(df: DataFrame, sort_by: str = "taxpayer_id", sort_order: str = "asc
     # Nulls first going up and last going down, as the source database does.
     column = F.col(sort_by)
     first = column.asc_nulls_first() if direction == "ASC" else column.desc_nulls_last()
-    return df.orderBy(first, F.col("taxpayer_id").asc())
+    return [first, F.col("taxpayer_id").asc()]
+
+
+def order_by(df: DataFrame, sort_by: str = "taxpayer_id", sort_order: str = "asc") -> DataFrame:
+    return df.orderBy(*order_columns(sort_by, sort_order))
 
 
 def page_of(df: DataFrame, page: int = 1, page_size: int = 10) -> DataFrame:

@@ -7,6 +7,8 @@ happens once, at the end.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from fiscus.functions.lookups import (
     NET_INCOME_RATE,
     PATENT_RATE,
 )
+from fiscus.operators.intervals import with_interval
 
 MONTHS = 12
 
@@ -170,6 +173,18 @@ def with_price_band(
     })
 
 
+def with_price_band_at(
+    df: DataFrame, bands: DataFrame, point: str, low: str, high: str,
+    default: int = FLAT_PRICE_DEFAULT, keys: Sequence[str] = (),
+) -> DataFrame:
+    """As ``with_price_band`` for bands between any two ordered values, such as dates; of overlapping
+    bands the first one counts, and a missing end leaves a band open."""
+    return with_interval(df, bands, point, low, high, "band", ["low", "high"], keys).withColumns({
+        "low": F.coalesce("low", F.lit(default)),
+        "high": F.coalesce("high", F.lit(default)),
+    })
+
+
 def with_land_value(df: DataFrame, bands: DataFrame, default: int) -> DataFrame:
     """Value range of ``area`` square metres at the price band of the year."""
     return with_price_band(df, bands, default).withColumns({

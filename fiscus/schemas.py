@@ -68,6 +68,15 @@ MONTHLY_MEDIAN = T.StructType([
     T.StructField("created_at", T.TimestampType()),
 ])
 
+MEDIAN_SKETCHES = T.StructType([
+    T.StructField("yr", T.IntegerType()),
+    T.StructField("mon", T.IntegerType()),
+    T.StructField("tax_type", T.StringType()),
+    T.StructField("income", T.BinaryType()),
+    T.StructField("transactions", T.BinaryType()),
+    T.StructField("tax", T.BinaryType()),
+])
+
 MODEL_METRICS = T.StructType([
     T.StructField("model_name", T.StringType()),
     T.StructField("target_name", T.StringType()),

@@ -8,7 +8,7 @@ that is repeated after a failure adds only what is missing.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -16,18 +16,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fiscus.operators import aggregates as A
+from fiscus.operators import sketches
 from fiscus.operators.filters import align_schema, summary_rows
 from fiscus.operators.joins import rows_absent_from
 from fiscus.operators.naming import GROWTH_MART, MEDIAN_MART, PREDICTED
 from fiscus.schemas import (
     MEASURES,
+    MEDIAN_SKETCHES,
     MODEL_METRICS,
     MONTHLY_MEDIAN,
     PREDICT,
     YEARLY_GROWTH,
 )
 from fiscus.session import materialize
-from fiscus.sources.commits import Tables
+from fiscus.sources.commits import CommitConflict, Tables
 
 GROWTH_KEYS = ("yr", "tax_type")
 MEDIAN_KEYS = ("yr", "mon", "tax_type")
@@ -165,6 +167,82 @@ def fill_growth_marts(real: DataFrame, predicted: DataFrame, root: str, stored:
     return marts
 
 
+def fill_years(
+    marts: Tables, name: str, schema: StructType, years: Iterable[int],
+    rows: Callable[[list[int], DataFrame], DataFrame], tries: int = 10,
+) -> list[int]:
+    """Add the years a mart does not have; the years that were worked out.
+
+    A year is stored whole or not at all, in one commit, so what is absent is known from the years of
+    the mart alone. ``rows`` gets the absent years and the stored rows, and reads facts of those years
+    only. A writer that comes second looks again.
+    """
+    for _ in range(tries):
+        version = marts.version()
+        there = marts.read(name, schema, version)
+        # A mart has few rows for each year.
+        absent = sorted(set(years) - {r["yr"] for r in there.select("yr").distinct().collect()})
+        if not absent:
+            return []
+        try:
+            marts.append({name: align_schema(rows(absent, there), schema)}, version)
+            return absent
+        except CommitConflict:
+            continue
+    raise CommitConflict(f"{tries} other commits came first")
+
+
+def _of_years(real: DataFrame, predicted: DataFrame, years: list[int]) -> DataFrame:
+    """Facts of some years; of tables stored by year no other folder is opened."""
+    wanted = F.col("yr").isin(years)
+    return A.pooled(real.where(wanted), predicted.where(wanted))
+
+
+def fill_growth_years(
+    marts: Tables, real: DataFrame, predicted: DataFrame, years: Iterable[int], mode: str = "sum", stored: bool = False
+) -> list[int]:
+    """Figures and growth of the absent years; the year before comes from the mart, not from facts."""
+    name = next(n for n, m in GROWTH_MARTS.items() if m == mode)
+
+    def rows(absent: list[int], there: DataFrame) -> DataFrame:
+        keys = ["yr", "tax_type"]
+        new = A.by_type_with_total(_of_years(real, predicted, absent), mode, ["source", "yr"], stored)
+        new = new.groupBy(*keys).agg(F.min_by(F.struct(*MEASURES), "source").alias("row")).select(*keys, "row.*")
+        before = there.withColumnsRenamed(GROWTH_MART).select(*keys, *MEASURES)
+        both = A.growth(new.withColumn("transactions", F.col("transactions").cast("double")).unionByName(before), by=["tax_type"])
+        back = {name: stored for stored, name in GROWTH_MART.items()}
+        grown = both.where(F.col("yr").isin(absent)).na.fill(0.0, [f"{m}_growth" for m in MEASURES])
+        return grown.withColumnsRenamed(back)
+
+    return fill_years(marts, name, YEARLY_GROWTH, years, rows)
+
+
+def fill_median_years(
+    marts: Tables, real: DataFrame, predicted: DataFrame, years: Iterable[int], stored: bool = False
+) -> list[int]:
+    """Monthly medians of the absent years."""
+    wanted = F.col("yr")
+    return fill_years(
+        marts, "monthly_median", MONTHLY_MEDIAN, years,
+        lambda absent, there: monthly_median_rows(real.where(wanted.isin(absent)), predicted.where(wanted.isin(absent)), stored),
+    )
+
+
+def fill_sketch_years(marts: Tables, real: DataFrame, predicted: DataFrame, years: Iterable[int]) -> list[int]:
+    """One quantile sketch a measure, year, month and regime; coarser medians merge them later."""
+    keys = ["yr", "mon", "tax_type"]
+    return fill_years(
+        marts, "median_sketches", MEDIAN_SKETCHES, years,
+        lambda absent, there: sketches.sketched(_of_years(real, predicted, absent), keys),
+    )
+
+
+def sketched_medians(marts: Tables, keys: Sequence[str] = ("yr",)) -> DataFrame:
+    """Approximate medians per regime and over all, at any coarser grouping; facts are not read."""
+    stored = marts.read("median_sketches", MEDIAN_SKETCHES)
+    return sketches.medians(sketches.by_type_with_total(stored, list(keys)), [*keys, "tax_type"])
+
+
 def replace_year(forecast: DataFrame, path: str) -> DataFrame:
     """Store a forecast, replacing exactly the years it covers.
 

@@ -12,9 +12,10 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fiscus.operators import paging
 from fiscus.schemas import MONTHLY_TAX, TAXPAYER
 from fiscus.session import materialize
-from fiscus.sources import files, tables
+from fiscus.sources import files, ranked, tables
 from fiscus.sources.store import Store
 
 #: The tables that payers and facts are made of.
@@ -231,6 +232,12 @@ class Warehouse:
         path = self._kept("payers", lambda path: tables.write_payers(self.taxpayer, path))
         return tables.read_table(self.spark, path, TAXPAYER)
 
+    def payer_page(self, page: int, page_size: int, sort_by: str = "taxpayer_id", sort_order: str = "asc") -> DataFrame:
+        """A page of the whole list of payers; the list is sorted once for each version of the tables."""
+        rows, order = self.taxpayer.select(*paging.SORTABLE), paging.order_columns(sort_by, sort_order)
+        path = self._kept(f"pages-{sort_by}-{sort_order.lower()}", lambda path: ranked.write_ranked(rows, order, path))
+        return ranked.ranked_page(self.spark, path, rows.schema, page, page_size)
+
     @cached_property
     def tax_all(self) -> DataFrame:
         return self.facts()
