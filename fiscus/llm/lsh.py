@@ -12,7 +12,9 @@ twelve tables finds the pair with 0.99.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows without a label
 or an id, link with nothing: no links, their own id, kept. Vectors of different lengths are not
-compared. Repeated rows are rows of one class.
+compared. Repeated rows are rows of one class. Labels may be of any type that can be compared and
+are equal as Spark has them equal. Components are scaled by a power of two, which changes no cosine,
+so that squares of very large and very small ones neither over- nor underflow.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from fiscus.llm.common import binaries, collected, mix, partitions, ranges, record, stored
 from fiscus.llm.components import components, forest
@@ -46,6 +49,25 @@ def table_keys(vectors: np.ndarray, labels: np.ndarray, width: float = WIDTH, pr
     return keys.view(np.int64)
 
 
+def scaled(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are not zero, and these with their largest component brought between a half and one."""
+    if not values.shape[1]:
+        return np.zeros(len(values), bool), values[:0]
+    most = np.abs(values).max(axis=1)
+    fine = most > 0
+    return fine, np.ldexp(values[fine], -np.frexp(most[fine])[1][:, None]) + 0.0  # one kind of zero
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Labels as long numbers, equal where the labels are: whole numbers as they are, others by a table of them."""
+    if isinstance(rows.schema["label"].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        return rows.withColumn("label", F.col("label").cast("long"))
+    known = stored(
+        rows.where("label IS NOT NULL").select("label").distinct().withColumn("number", F.monotonically_increasing_id()), "labels"
+    )
+    return rows.join(known, "label", "left").select("vec_id", "vector", F.col("number").alias("label"))
+
+
 def _compare(table_no, key, cell, cells, block, ids, sizes, keys, vectors, cosine: float):
     """Counts (row, links) and links (row, row) among the rows of one task, each pair of rows of a cell once."""
     order = np.lexsort((cell, key))
@@ -100,15 +122,14 @@ def _compare(table_no, key, cell, cells, block, ids, sizes, keys, vectors, cosin
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), F.col(label_col).cast("long").alias("label"))
+    rows = numbered(df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), F.col(label_col).alias("label")))
 
     def usable(batches):
         for batch in batches:
             for some, values in matrices(batch.column(1)):
-                values = values + 0.0  # one kind of zero
-                fine = (values * values).sum(axis=1) > 0
-                if values.shape[1] and fine.any():
-                    some, values = some[fine], np.ascontiguousarray(values[fine])
+                fine, values = scaled(values)
+                if fine.any():
+                    some, values = some[fine], np.ascontiguousarray(values)
                     pick = pa.array(some)
                     digest = np.array([xxhash.xxh3_128_intdigest(x.tobytes()) & ((1 << 126) - 1) for x in values], object)
                     yield record(["vec_id", "label", "d1", "d2", "vector"], [
@@ -180,7 +201,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         for batch in batches:
             bad = np.ones(batch.num_rows, bool)
             for some, values in matrices(batch.column(1)):
-                bad[some[(values * values).sum(axis=1) > 0] if values.shape[1] else some[:0]] = False
+                bad[some[scaled(values)[0]]] = False
             bad |= batch.column(0).is_null().to_numpy(zero_copy_only=False) | batch.column(2).is_null().to_numpy(zero_copy_only=False)
             yield record(["vec_id"], [batch.column(0).filter(pa.array(bad))])
 

@@ -291,6 +291,32 @@ def test_near_vectors(spark, block):
     assert got[440][0][:2] == got[420][0][:2] and got[3][0][1] == got[420][0][1]
 
 
+def near_by_id(spark, rows, kind):
+    frame = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")
+    return {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in lsh.near_vectors(frame).collect()}
+
+
+def test_near_vectors_of_any_size(spark):
+    sizes = [5e-324, 1e-200, 1.0, 1e200, 1.7e308]
+    rows = [(i, [x, x / 2 if x > 1e-300 else 0.0], 1) for i, x in enumerate(sizes)] + [(9, [1e-200, -1e-200], 1)]
+    got = near_by_id(spark, rows, "int")
+    assert all(got[i] == (3, 1, i == 1) for i in (1, 2, 3, 4))
+    assert got[0] == (0, 0, True) and got[9] == (0, 9, True)
+    fine, values = lsh.scaled(np.array([[3.0, -4.0], [0.0, 0.0], [1e300, 1.0]]))
+    assert fine.tolist() == [True, False, True] and values[0].tolist() == [0.375, -0.5] and values.max() < 1
+
+
+@pytest.mark.parametrize("kind,labels", [
+    ("string", ["a", "b", "a ", "", "1"]), ("double", [1.2, 1.9, 0.5, float("nan"), 1.0]), ("boolean", [True, False]),
+    ("long", [2**62, 2**62 + 1, -1, 0]),
+])
+def test_near_vectors_compare_labels_as_they_are(spark, kind, labels):
+    rows = [(10 * i + j, [1.0, 2.0], x) for i, x in enumerate(labels) for j in range(2)] + [(99, [1.0, 2.0], None)]
+    got = near_by_id(spark, rows, kind)
+    want = {10 * i + j: (1, 10 * i, j == 0) for i in range(len(labels)) for j in range(2)}
+    assert got == want | {99: (0, 99, True)}
+
+
 @pytest.mark.parametrize("shard,leaf", [(10_000, 128), (60, 4)])
 def test_search_is_exact(spark, shard, leaf, monkeypatch):
     monkeypatch.setattr(search.build, "__defaults__", (leaf,))
