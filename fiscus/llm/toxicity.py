@@ -3,8 +3,9 @@
 A sentence is toxic with the probability of a logistic model over the words it holds (whole
 words and their beginnings, hashed); a document is toxic if any of its sentences is, so the
 sentences combine by noisy-or. Weights are fitted to document labels alone, through the noisy-or,
-and then tell which sentences offend. Only features that are clearly more frequent in toxic
-documents get a weight.
+and then tell which sentences offend. A feature counts by the evidence (log-likelihood ratio)
+that it is more frequent in toxic documents, so that under one penalty for all weights the many
+rare features of a few documents stay small; there is no least count and no most features.
 
 Null and empty texts hold no sentence and score as zero evidence (the noisy-or of nothing, 0).
 Repeated rows and null ids are scored one by one.
@@ -20,14 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiscus.llm.common import chunks_of, ids_and_texts, joined, prefix_sums, record, slice_hashes, stored
+from fiscus.llm.fitting import minimum, summed
 from fiscus.llm.labelled import sample
 
-#: Labelled documents of either label that the fit reads at most, and features that get a weight at most.
-SAMPLE, FEATURES = 6000, 40_000
+#: Labelled documents of either label that the fit reads at most.
+SAMPLE = 6000
 #: Bits of a hashed feature; beginnings of words in bytes.
 BITS, BEGINNINGS = 22, (4, 5, 6, 7)
 CHUNK = 4 << 20
-EPOCHS, RATE, DECAY = 300, 0.1, 1e-4
+#: Steps of the fit at most, penalty of squared weights, weight of a toxic document, and the evidence that counts 1.
+ROUNDS, PENALTY, TOXIC, UNIT = 60, 1.0, 3.0, 25.0
 
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(0x80, 0x100)]] = True
@@ -89,36 +92,42 @@ def hits(data: np.ndarray, at: np.ndarray, starts: np.ndarray, known: np.ndarray
     return sentence, key if known is None else np.searchsorted(known, key)
 
 
-def fit(doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, sentences: np.ndarray, labels: np.ndarray, each: np.ndarray, n: int) -> tuple[np.ndarray, float]:
-    """Weights and base by gradient steps on the likelihood of document labels.
+def evidence(toxic: np.ndarray, clean: np.ndarray, documents: tuple[int, int]) -> np.ndarray:
+    """How surely each feature is more frequent in toxic documents than in clean ones: its log-likelihood ratio, or 0.
+
+    toxic, clean: documents that hold the feature; documents: clean and toxic ones in all.
+    """
+    both = toxic + clean
+    due = both * documents[1] / (documents[0] + documents[1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(toxic > 0, toxic * np.log(toxic / due), 0) + np.where(clean > 0, clean * np.log(clean / (both - due)), 0)
+    return np.where(toxic > due, 2 * ratio, 0.0)
+
+
+def slope_of(doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, sentences: np.ndarray, labels: np.ndarray, each: np.ndarray, scale: np.ndarray, params: np.ndarray) -> tuple[float, np.ndarray]:
+    """Loss of the labels under the noisy-or, and its slope; the last parameter is the log-odds of a sentence without features.
 
     doc, sentence, feature: one entry for each feature in a sentence; sentences: how many each
-    document has; each: weight of each document.
+    document has; each: weight of each document; scale: what a feature counts.
     """
+    n = len(scale)
     pairs, at = np.unique(doc << 32 | sentence, return_inverse=True)
     owner = pairs >> 32
     bare = sentences - np.bincount(owner, minlength=len(labels))
-    params = np.zeros(n + 1)
-    params[:n], params[n] = 1.0, -7.0
-    memory = [np.zeros(n + 1), np.zeros(n + 1)]
-    total = each.sum()
-    for epoch in range(1, EPOCHS + 1):
-        z = params[n] + np.bincount(at, params[feature], len(pairs))
-        p, base = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-params[n]))
-        load = np.bincount(owner, np.logaddexp(0, z), len(labels)) + bare * np.logaddexp(0, params[n])
-        load = np.maximum(load, 1e-12)
-        push = each * np.where(labels == 1, -1 / np.expm1(np.minimum(load, 700)), 1.0)
-        by_pair = push[owner] * p
-        slope = np.append(np.bincount(feature, by_pair[at], n), by_pair.sum() + (push * bare * base).sum()) / total
-        slope[:n] += DECAY * params[:n]
-        memory[0] = 0.9 * memory[0] + 0.1 * slope
-        memory[1] = 0.99 * memory[1] + 0.01 * slope**2
-        params -= RATE * (memory[0] / (1 - 0.9**epoch)) / (np.sqrt(memory[1] / (1 - 0.99**epoch)) + 1e-10)
-    return params[:n], float(params[n])
+    z = params[n] + np.bincount(at, params[feature] * scale[feature], len(pairs))
+    p, base = (0.5 * (1 + np.tanh(x / 2)) for x in (z, params[n]))
+    load = np.maximum(np.bincount(owner, np.logaddexp(0, z), len(labels)) + bare * np.logaddexp(0, params[n]), 1e-12)
+    loss = each * np.where(labels == 1, -np.log(-np.expm1(-load)), load)
+    push = each * np.where(labels == 1, -1 / np.expm1(np.minimum(load, 700)), 1.0)
+    by_pair = push[owner] * p
+    return float(loss.sum()), np.append(np.bincount(feature, by_pair[at] * scale[feature], n), by_pair.sum() + (push * bare * base).sum())
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", each: int = SAMPLE) -> Words:
-    """Learn from at most ``each`` documents of either label. Without documents of both labels nothing is toxic."""
+    """Learn from at most ``each`` documents of either label. Without documents of both labels nothing is toxic.
+
+    Sentences stay in the tasks, which sum the slopes; the driver holds features and weights, 2^22 at most.
+    """
     rows, counts = sample(ids_and_texts(docs, id_col, text_col), labels, label_col, each)
     if not all(counts.get(x) for x in (0, 1)):
         return Words(np.zeros(0, np.int64), np.zeros(0), -20.0)
@@ -131,12 +140,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
             owner = np.flatnonzero(np.diff(at) > 0)[sentence]
             yield record(["label", "feature"], [chunk.column(2).take(pa.array(owner)), key])
 
-    n = {x: min(counts[x], each) for x in (0, 1)}
+    taken = tuple(min(counts[x], each) for x in (0, 1))
     shares = rows.mapInArrow(features, "label int, feature long").groupBy("feature").agg(
         F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")
-    ).withColumn("lift", F.col("toxic") / n[1] / ((F.col("clean") + 0.5) / n[0]))
-    chosen = shares.where("toxic >= 3 AND lift >= 8").orderBy(F.desc("lift"), "feature").limit(FEATURES)
-    known = np.sort(np.array([r["feature"] for r in chosen.select("feature").collect()], np.int64))
+    )
+    # Others, of no or contrary evidence, would count nothing.
+    leaning = shares.where(F.col("toxic") * taken[0] > F.col("clean") * taken[1]).toPandas().sort_values("feature")
+    known = leaning["feature"].to_numpy(np.int64)
+    scale = evidence(leaning["toxic"].to_numpy(float), leaning["clean"].to_numpy(float), taken) / UNIT
 
     def found(batches):
         for chunk in chunks_of(batches, CHUNK):
@@ -145,20 +156,29 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
             sentence, key = hits(data, at, starts, known)
             cuts = np.searchsorted(sentence, first).astype(np.int32)
             inside = sentence - np.repeat(first[:-1], np.diff(cuts))
-            yield record(["doc_id", "label", "sentences", "sentence", "feature"], [
-                chunk.column(0), chunk.column(2), np.diff(first),
+            yield record(["label", "sentences", "sentence", "feature"], [
+                chunk.column(2), np.diff(first),
                 pa.ListArray.from_arrays(pa.array(cuts), pa.array(inside)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(key.astype(np.int64))),
             ])
 
-    got = rows.mapInArrow(found, "doc_id long, label int, sentences long, sentence array<long>, feature array<long>").toPandas().sort_values("doc_id")
-    sizes = got["sentence"].map(len).to_numpy()
-    y = got["label"].to_numpy()
-    share = np.array([counts[0], counts[1]], float) / np.maximum(np.bincount(y, minlength=2), 1)
-    weights, base = fit(
-        np.repeat(np.arange(len(got)), sizes), np.concatenate([*got["sentence"], np.zeros(0, np.int64)]).astype(np.int64),
-        np.concatenate([*got["feature"], np.zeros(0, np.int64)]).astype(np.int64), got["sentences"].to_numpy(), y, share[y], len(known),
-    )
-    return Words(known, weights, base)
+    parts = stored(rows.mapInArrow(found, "label int, sentences long, sentence array<long>, feature array<long>"), "toxic-sentences")
+    weight = np.array([counts[0] / taken[0], TOXIC * counts[1] / taken[1]])
+    n = len(known)
+
+    def evaluate(batch, params):
+        lists, y = batch.column(2), batch.column(0).to_numpy()
+        doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+        return slope_of(doc, lists.flatten().to_numpy(), batch.column(3).flatten().to_numpy(), batch.column(1).to_numpy(), y, weight[y], scale, params)
+
+    data = summed(parts, evaluate, n + 1)
+
+    def penalised(params):
+        loss, slope = data(params)
+        slope[:n] += PENALTY * params[:n]
+        return loss + PENALTY / 2 * params[:n] @ params[:n], slope
+
+    params = minimum(penalised, np.append(np.zeros(n), -7.0), ROUNDS)
+    return Words(known, params[:n] * scale, float(params[n]))
 
 
 def scores(model: Words, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
