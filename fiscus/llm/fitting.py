@@ -1,30 +1,33 @@
-"""Fits whose data stay in the tasks: loss and slope of every part are worked out where it lies and summed on the way.
+"""Fits whose data stay in the tasks: loss and slope of every part are worked out where it lies.
 
 The driver holds the parameters and the last few steps only, however long the texts are.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fiscus.llm.common import record
+from fiscus.llm.common import record, stored
 
-#: Slopes that are summed as one row, and steps that the curvature is learned from.
-BLOCK, MEMORY = 1 << 16, 8
+#: Tasks that a fit is worked on by, so slopes that reach the driver at a time, and steps that the curvature is learned from.
+PARTS, MEMORY = 8, 8
+
+
+def gathered(df: DataFrame, label: str) -> DataFrame:
+    """``df`` stored in ``PARTS`` files at most, as it is read in every round; for samples of bounded rows."""
+    return stored(stored(df, label).coalesce(PARTS), label)
 
 
 def summed(parts: DataFrame, evaluate: Callable, size: int) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
     """A function of the parameters: loss and slope over all rows of ``parts``.
 
-    ``evaluate(batch, params)`` gives both for one Arrow batch; there are ``size`` parameters.
+    ``evaluate(batch, params)`` gives both for one Arrow batch; there are ``size`` parameters. A task
+    gives the driver one row, ``PARTS`` at most together.
     """
-    blocks = math.ceil(size / BLOCK)
-
     def at(params: np.ndarray) -> tuple[float, np.ndarray]:
         def each(batches):
             loss, slope = 0.0, np.zeros(size)
@@ -33,25 +36,13 @@ def summed(parts: DataFrame, evaluate: Callable, size: int) -> Callable[[np.ndar
                     more, down = evaluate(batch, params)
                     loss += more
                     slope += down
-            for block in range(blocks):
-                data = np.append(slope[block * BLOCK:(block + 1) * BLOCK], loss if block == 0 else 0.0)
-                yield record(["block", "data"], [pa.array([block], pa.int32()), pa.array([data.tobytes()], pa.binary())])
+            yield record(["loss", "slope"], [[loss], pa.array([slope.tobytes()], pa.binary())])
 
-        def add(batches):
-            found: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    values = np.frombuffer(data.as_py())
-                    found[block] = found[block] + values if block in found else values
-            for block, values in found.items():
-                yield record(["block", "data"], [pa.array([block], pa.int32()), pa.array([values.tobytes()], pa.binary())])
-
-        schema = "block int, data binary"
-        rows = parts.mapInArrow(each, schema).repartition(blocks, "block").mapInArrow(add, schema).collect()
-        data = {r["block"]: np.frombuffer(r["data"]) for r in rows}
-        if not data:
-            return 0.0, np.zeros(size)
-        return float(data[0][-1]), np.concatenate([data[b][:-1] for b in range(blocks)])
+        loss, slope = 0.0, np.zeros(size)
+        for row in parts.coalesce(PARTS).mapInArrow(each, "loss double, slope binary").collect():
+            loss += row["loss"]
+            slope += np.frombuffer(row["slope"])
+        return loss, slope
 
     return at
 

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscus.llm.common import chunks_of, ids_and_texts, joined, prefix_sums, record, slice_hashes, stored, words_of
-from fiscus.llm.fitting import minimum, summed
+from fiscus.llm.common import chunks_of, ids_and_texts, joined, prefix_sums, record, slice_hashes, words_of
+from fiscus.llm.fitting import gathered, minimum, summed
 from fiscus.llm.labelled import sample
 
 #: Labelled documents of either label that the fit reads at most.
@@ -331,7 +331,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
                         [int(b - a)], [int(first[i + 1] - first[i])], pa.array([(ends[a:b] - starts[a:b] + 1).astype("<i8").tobytes()], pa.binary()),
                     ])
 
-    pieces = stored(rows.mapInArrow(run, "doc_id long, label int, own binary, lines long, of long, sizes binary"), "quality-lines")
+    pieces = gathered(rows.mapInArrow(run, "doc_id long, label int, own binary, lines long, of long, sizes binary"), "quality-lines")
     taken = np.array([min(counts[x], each) for x in (0, 1)], float)
     share = taken.sum() / taken / 2
     data = summed(pieces, lambda batch, w: alone_slope(batch, w, share), N_FEATURES)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiscus.llm.common import chunks_of, ids_and_texts, joined, prefix_sums, record, slice_hashes, stored
-from fiscus.llm.fitting import minimum, summed
+from fiscus.llm.fitting import gathered, minimum, summed
 from fiscus.llm.labelled import sample
 
 #: Labelled documents of either label that the fit reads at most.
@@ -161,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
                 pa.ListArray.from_arrays(pa.array(cuts), pa.array(inside)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(key.astype(np.int64))),
             ])
 
-    parts = stored(rows.mapInArrow(found, "label int, sentences long, sentence array<long>, feature array<long>"), "toxic-sentences")
+    parts = gathered(rows.mapInArrow(found, "label int, sentences long, sentence array<long>, feature array<long>"), "toxic-sentences")
     weight = np.array([counts[0] / taken[0], TOXIC * counts[1] / taken[1]])
     n = len(known)
 

@@ -138,8 +138,7 @@ def test_evidence_is_for_toxic_documents_only():
     assert got[0] > got[1] > 0 and got[2] == 0 and got[3] == 0
 
 
-def test_slopes_are_summed_over_all_parts(spark, monkeypatch):
-    monkeypatch.setattr(fitting, "BLOCK", 2)
+def test_slopes_are_summed_over_all_parts(spark):
     rows = spark.range(100).repartition(7)
     goal = np.arange(5.0)
 
