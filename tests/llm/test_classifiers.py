@@ -121,23 +121,6 @@ def test_noisy_or_by_hand():
         assert np.isclose(score, 1 - none, atol=1e-9), text and text[:40]
 
 
-def test_slope_of_the_noisy_or():
-    doc, sentence, feature = np.array([0, 0, 0, 1, 3, 3]), np.array([0, 0, 2, 1, 0, 1]), np.array([0, 2, 1, 2, 0, 1])
-    sentences, labels, each = np.array([3, 2, 0, 4]), np.array([1, 0, 0, 1]), np.array([1.0, 2.0, 1.0, 0.5])
-    scale = np.array([0.5, 1.0, 2.0])
-    x = RNG.normal(size=4)
-
-    def f(params):
-        return toxicity.slope_of(doc, sentence, feature, sentences, labels, each, scale, params)
-
-    assert np.allclose(f(x)[1], slope_by_differences(f, x), atol=1e-6)
-
-
-def test_evidence_is_for_toxic_documents_only():
-    got = toxicity.evidence(np.array([10.0, 1.0, 0.0, 5.0]), np.array([0.0, 0.0, 9.0, 50.0]), (100, 10))
-    assert got[0] > got[1] > 0 and got[2] == 0 and got[3] == 0
-
-
 def test_slopes_are_summed_over_all_parts(spark):
     rows = spark.range(100).repartition(7)
     goal = np.arange(5.0)
