@@ -21,6 +21,8 @@ written. An empty table gives a manifest without rows.
 from __future__ import annotations
 
 import functools
+import json
+import re
 import uuid
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fiscus.llm.bpe import KeptWords
-from fiscus.llm.common import binaries, chunks_of, joined, partitions, prefix_sums, ranges, record, slice_hashes, stored, words_of
+from fiscus.llm.common import SPACES, binaries, chunks_of, joined, partitions, prefix_sums, ranges, record, slice_hashes, stored, words_of
 from fiscus.session import shared_folder
 
 MAGIC = b"TOKDAC01"
@@ -149,6 +151,36 @@ def file_bytes(ids: np.ndarray, sizes: np.ndarray, doc_ids: np.ndarray, null_ids
 # --- encoding ----------------------------------------------------------------------------------
 
 
+#: Bytes between which a word is cut: letters on one side, marks on the other. The marks leave out the
+#: apostrophe, which may take letters to itself, and those of special tokens.
+LETTERS, MARKS = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (
+    b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~",
+))
+#: Words of which the tokenizer makes one part, as they are letters or marks throughout.
+PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]+)\Z")
+#: Plain words encoded as one text.
+TOGETHER = 128
+
+
+def parts_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends in bytes of words that are cut between ASCII letters and marks, and the first of each text."""
+    starts, ends, first = words_of(data, at)
+    if not len(starts):
+        return starts, ends, first
+    letter, mark = LETTERS[data], MARKS[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = letter[:-1] & mark[1:] | mark[:-1] & letter[1:]
+    cut[starts] = True
+    cut[ends] = True
+    edges = np.flatnonzero(cut)
+    # An edge begins a part unless white space or the end follows it, and ends one unless white space stands before it.
+    starts = edges[edges < len(data)]
+    starts = starts[~SPACES[data[starts]]]
+    ends = edges[edges > 0]
+    ends = ends[~SPACES[data[ends - 1]]]
+    return starts, ends, np.searchsorted(starts, at)
+
+
 class Words:
     """Ids of words by a tokenizer that drops white space, so that a text's ids are those of its words."""
 
@@ -163,19 +195,57 @@ class Words:
         apart = [i for w in probe.split() for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
         if apart != self.tokenizer.encode(probe, add_special_tokens=False).ids:
             raise ValueError("this tokenizer's words depend on the white space around them")
+        with open(path, encoding="utf-8") as file:
+            content = json.load(file)
+        suffix, vocabulary = content["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        #: Whether a token ends a part of a word; nothing where tokens do not tell.
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        # Parts cut between letters and marks count as words if the tokenizer cuts there too and no special token is cut.
+        probe = "a.b,É-c 'd.e' x!s é_1"
+        parts = [i for w in self._cut(probe) for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
+        whole = all(len(self._cut(x["content"])) == 1 for x in content["added_tokens"])
+        self.cuts = bool(suffix) and whole and parts == self.tokenizer.encode(probe, add_special_tokens=False).ids
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        data, at = joined(pa.array([text]))
+        starts, ends, _ = parts_of(data, at)
+        return [data[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)]
 
     def merge_words(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words given as slices of bytes, after one another, and how many each has."""
         flat = data.tobytes()
         words = [flat[a:a + n].decode() for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), np.int32, counts.sum()), counts
+        plain = np.fromiter((PLAIN.match(w) is not None for w in words), bool, len(words)) if self.cuts else np.zeros(len(words), bool)
+        chosen, alone = np.flatnonzero(plain), np.flatnonzero(~plain).tolist()
+        groups = [chosen[a:a + TOGETHER].tolist() for a in range(0, len(chosen), TOGETHER)]
+        found, owners, sizes = [], [], []
+        for group, ids in zip(groups, self._ids([" ".join([words[i] for i in g]) for g in groups]), strict=True):
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) != len(group) or ends[-1] != len(ids) - 1:  # not one part each after all
+                alone += group
+                continue
+            found.append(ids)
+            owners.append(group)
+            sizes.append(np.diff(ends, prepend=-1))
+        each = self._ids([words[i] for i in alone])
+        found, owners = [*found, *each], np.array([*(i for g in owners for i in g), *alone], np.int64)
+        sizes = np.concatenate([*sizes, np.fromiter(map(len, each), np.int64, len(each))])
+        counts = np.zeros(len(words), np.int64)
+        counts[owners] = sizes
+        out = np.zeros(counts.sum(), np.int32)
+        out[ranges((np.cumsum(counts) - counts)[owners], sizes)] = np.concatenate([np.zeros(0, np.int32), *found])
+        return out, counts
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts after one another, each with the end id, and how many each has."""
         data, at = joined(texts)
-        starts, ends, first = words_of(data, at)
+        starts, ends, first = (parts_of if self.cuts else words_of)(data, at)
         ids, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
         if len(starts):
             code, keys = pd.factorize(slice_hashes(prefix_sums(data), starts, ends))

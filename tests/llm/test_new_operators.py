@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -279,3 +280,28 @@ def test_passages_by_suffixes_are_those_of_the_index(spark):
         return {(r.k1, r.k2): [x.tolist() for x in windows.merged(pa.array([[s.asDict() for s in r.spans]]))[0]] for r in found.collect()}
 
     assert spans_of(suffixes.find_passages(plain)) == spans_of(fm_index.find_repeats(plain))
+
+
+def test_words_are_cut_and_encoded_together_with_the_ids_of_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, plain = token_files.Words(path), Tokenizer.from_file(path)
+    given = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **settings):
+            given.extend(texts)
+            return plain.encode_batch_fast(texts, **settings)
+
+    coder.tokenizer = Counting()
+    rng = random.Random(3)
+    odd = [*"abAHS0 19\t.,!?=<>|'_-#", "É", "İ", "ß", "̱", "̸", "́", "가", " ", "<|endoftext|>", "'ll", "'s", "😀", "½", "\x1c"]
+    texts = [None, "", *("".join(rng.choices(odd, k=rng.randrange(1, 40))) for _ in range(2000))]
+    words = ["".join(rng.choices("abcdefghÄé", k=8)) for _ in range(5000)]
+    texts += [" ".join(w + rng.choice(["", ".", ",", "%%%"]) for w in rng.choices(words, k=50)) for _ in range(400)]
+    ids, sizes = coder.encode(pa.array(texts), 2)
+    ends = np.cumsum(sizes)
+    for text, a, b in zip(texts, ends - sizes, ends, strict=True):
+        assert ids[a:b].tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 2]
+    # Words of letters go to the tokenizer many at a time, and once however they are punctuated.
+    assert sum(t in set(words) for t in given) == 0
+    assert sum(len(t.split()) for t in given if set(t.split()) & set(words)) <= 5010
