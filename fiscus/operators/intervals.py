@@ -1,7 +1,10 @@
 """Joins of points with the interval that holds them, for any type that can be ordered.
 
 Intervals may overlap (the one with the smallest ``first`` counts), leave gaps, be open at either end
-(null bound) and be as wide as they like. They are cut at all their ends into disjoint pieces; the
+(null bound) and be as wide as they like. Of a key with few intervals each row meets them as one sorted
+list and takes the first that holds its point; that is one join by the key.
+
+Where a key has many, they are cut at all their ends into disjoint pieces; the
 winner of a piece is the best of the nodes above it in a binary tree over the pieces, to which every
 interval adds at most two nodes a level, so n intervals cost n log n rows however they overlap.
 Points find the last piece that begins before them by one sorted pass over ranges.
@@ -23,6 +26,8 @@ from fiscus.session import materialize
 #: A bound is (far, value, side): far is -1 or 1 for an open end; side tells a start (0), a point (1)
 #: and what lies just after a value that still belongs to the interval (2) apart.
 START, POINT, AFTER = 0, 1, 2
+#: Intervals of a key that each of its rows is held against one by one.
+FEW = 64
 
 
 def _bound(far: Column | int, value: Column, side: int) -> Column:
@@ -83,14 +88,57 @@ def disjoint_pieces(
 
 def with_interval(
     df: DataFrame, intervals: DataFrame, point: str, low: str, high: str, first: str,
-    payload: Sequence[str], keys: Sequence[str] = (), closed: bool = True,
+    payload: Sequence[str], keys: Sequence[str] = (), closed: bool = True, few: int = FEW,
 ) -> DataFrame:
     """``df`` with the payload of the interval that holds ``point``, nulls where none does.
 
     ``keys``: columns that row and interval must share; a null key or point is in no interval.
+    ``few``: intervals of a key up to which they are tried one by one.
     """
     keys, kind = list(keys), df.schema[point].dataType
     bounds = intervals.withColumns({low: F.col(low).cast(kind), high: F.col(high).cast(kind)})
+    told = (point, low, high, first, payload, keys, closed)
+    if not keys:
+        return _by_list(df, bounds, *told) if bounds.limit(few + 1).count() <= few else _by_pieces(df, bounds, *told)
+    bounds = bounds.dropna(subset=keys)
+    many = bounds.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > few).select(*keys)
+    many = materialize(many, "many-intervals")
+    if many.isEmpty():
+        return _by_list(df, bounds, *told)
+    return _by_list(
+        df.join(many, keys, "left_anti"), bounds.join(many, keys, "left_anti"), *told
+    ).unionByName(_by_pieces(df.join(many, keys, "left_semi"), bounds.join(many, keys, "left_semi"), *told))
+
+
+def _by_list(
+    df: DataFrame, bounds: DataFrame, point: str, low: str, high: str, first: str,
+    payload: Sequence[str], keys: list[str], closed: bool,
+) -> DataFrame:
+    """``with_interval`` by trying the intervals of a key in their order."""
+    bid = F.struct(
+        F.col(first).alias("first"), F.struct(*payload).alias("payload"), F.col(low).alias("low"), F.col(high).alias("high")
+    )
+    lists = bounds.groupBy(*keys).agg(F.sort_array(F.collect_list(bid)).alias("bids"))
+    # Stored, so that whether it is broadcast follows from its measured size.
+    lists = materialize(lists, "intervals")
+    met = df.join(lists, keys, "left") if keys else df.withColumn("bids", lists.scalar())
+
+    def holds(b: Column) -> Column:
+        x = F.col(point)
+        until = x <= b["high"] if closed else x < b["high"]
+        # Two open ends hold every point, but one that is null is in no interval.
+        return x.isNotNull() & (b["low"].isNull() | (b["low"] <= x)) & (b["high"].isNull() | until)
+
+    found = F.get(F.filter("bids", holds), F.lit(0))["payload"]
+    own = [point, *[c for c in df.columns if c != point and c not in keys]]
+    return met.select(*keys, *own, found.alias("found")).select(*keys, *own, *[F.col(f"found.{p}").alias(p) for p in payload])
+
+
+def _by_pieces(
+    df: DataFrame, bounds: DataFrame, point: str, low: str, high: str, first: str,
+    payload: Sequence[str], keys: list[str], closed: bool,
+) -> DataFrame:
+    """``with_interval`` by disjoint pieces and one sorted pass, for any number of intervals."""
     pieces = disjoint_pieces(bounds, low, high, first, payload, keys, closed)
     points = df.select(*keys, F.col(point)).dropna().distinct().select(
         *keys, _bound(0, F.col(point), POINT).alias("at"), F.lit(None).cast(pieces.schema["found"].dataType).alias("found"),

@@ -83,6 +83,33 @@ def test_intervals_of_any_ordered_type(spark, kind, closed):
     assert {r["j"]: r["v"] for r in got.collect()} == want and got.count() == len(points)
 
 
+@pytest.mark.parametrize("few", [0, 15, 64])
+def test_keys_with_few_and_many_intervals(spark, few):
+    rng = random.Random(few)
+    bands = [(i, rng.choice("aaaabc"), rng.choice([None, *range(40)]), rng.choice([None, *range(60)]), i) for i in range(60)]
+    points = [(j, rng.choice(["a", "a", "b", "c", "d", None]), rng.choice([None, *range(70)])) for j in range(400)]
+    got = I.with_interval(
+        spark.createDataFrame(points, "j int, k string, x int"),
+        spark.createDataFrame(bands, "n int, k string, lo int, hi int, v int"), "x", "lo", "hi", "n", ["v"], ["k"], few=few,
+    )
+    want = found(points, bands, ["k"], True, lambda a, x: a <= x, lambda x, b: x <= b)
+    assert {r["j"]: r["v"] for r in got.collect()} == want and got.count() == len(points)
+
+
+def test_few_intervals_of_a_key_take_one_join_and_no_sorted_pass(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("no ranges are sorted for keys with few intervals")
+
+    monkeypatch.setattr(I, "with_rank", never)
+    monkeypatch.setattr(I, "last_seen", never)
+    bands = spark.range(200).selectExpr("id % 20 k", "int(id) lo", "int(id) + 30 hi", "id n")
+    points = spark.range(500).selectExpr("id % 25 k", "int(id % 250) x")
+    got = I.with_interval(points, bands, "x", "lo", "hi", "n", ["n"], ["k"])
+    want = points.join(bands.where("lo <= 249"), "k", "left").where("x between lo and hi").groupBy("k", "x").agg(F.min("n"))
+    assert sorted(tuple(r) for r in got.where("n is not null").distinct().collect()) == sorted(tuple(r) for r in want.collect())
+    assert got.count() == 500
+
+
 def test_intervals_without_rows(spark):
     points = spark.createDataFrame([(1, 5)], "j int, x int")
     bands = spark.createDataFrame([(0, 1, 9, 7)], "n int, lo int, hi int, v int")
