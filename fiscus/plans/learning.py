@@ -51,7 +51,7 @@ def training(db: Warehouse) -> DataFrame:
     """The stored model input; one per run, as stored tables are not kept between runs."""
     with _FITTING:
         if db not in _TRAINING:
-            _TRAINING[db] = M.training_input(db.stored_facts, db.taxpayer, db.econ)
+            _TRAINING[db] = M.training_input(db.stored_facts, db.taxpayer, db.stored_econ)
         return _TRAINING[db]
 
 

@@ -208,15 +208,30 @@ class Warehouse:
         store = Store(self.spark)
         return store.get(store.place(kind, self.folder, self.version), write)
 
+    @cached_property
+    def worked_out(self) -> DataFrame:
+        """Facts of all years as they come, worked out once for each version of the tables.
+
+        What is stored by year and the economy are made from these, so the lines are read and joined once.
+        """
+        path = self._kept("worked-out", lambda path: self.facts().select(*MONTHLY_TAX.names).write.parquet(path))
+        return tables.read_table(self.spark, path, MONTHLY_TAX)
+
     @cached_property
     def facts_folder(self) -> str:
         """Where the recorded facts are stored by year; stored once for each version of the tables."""
-        return self._kept("facts", lambda path: tables.write_facts(self.monthly_tax, path))
+        return self._kept("facts", lambda path: tables.write_facts(self.worked_out.where(F.col("yr") <= LAST_REAL_YEAR), path))
 
     @cached_property
     def predicted_folder(self) -> str:
         """The same for the predicted year."""
-        return self._kept("predicted", lambda path: tables.write_facts(self.predict.select(*MONTHLY_TAX.names), path))
+
+        def write(path: str) -> None:
+            coming = self.worked_out.where(F.col("yr") == PREDICTED_YEAR)
+            known = coming.join(self.taxpayer.select("taxpayer_id"), "taxpayer_id")
+            tables.write_facts(known.select(*MONTHLY_TAX.names), path)
+
+        return self._kept("predicted", write)
 
     @cached_property
     def stored_facts(self) -> DataFrame:
@@ -253,8 +268,16 @@ class Warehouse:
 
     @cached_property
     def econ(self) -> DataFrame:
-        rows = self.facts(start_year=ECON_FROM_YEAR).groupBy("yr", "mon")
-        return rows.agg(
+        return self._economy(self.facts(start_year=ECON_FROM_YEAR))
+
+    @cached_property
+    def stored_econ(self) -> DataFrame:
+        """The same from the facts that are kept, for those who need these anyway."""
+        return self._economy(self.worked_out.where(F.col("yr") >= ECON_FROM_YEAR))
+
+    @staticmethod
+    def _economy(facts: DataFrame) -> DataFrame:
+        return facts.groupBy("yr", "mon").agg(
             F.sum("transactions").cast("double").alias("core_cpi"),
             F.count(F.lit(1)).cast("double").alias("n"),
         ).select(

@@ -1,11 +1,12 @@
 """Kept tables and models, commits of several tables, answers from names, look-ups by INN."""
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
-from fiscus.schemas import TAXPAYER, YEARLY_GROWTH
+from fiscus.schemas import MONTHLY_TAX, TAXPAYER, YEARLY_GROWTH
 from fiscus.sources import files, marts, metadata, tables
 from fiscus.sources.commits import CommitConflict, Tables
 from fiscus.sources.store import Store
@@ -135,3 +136,15 @@ def test_a_second_writer_notices_and_each_key_is_stored_once(spark, make_facts,
     for name in marts.GROWTH_MARTS:
         found = raced.read(name, YEARLY_GROWTH)
         assert found.count() == found.select("yr", "tax_type").distinct().count() == 17
+
+
+def test_lines_are_joined_once_for_stored_facts_and_the_economy(spark, monkeypatch):
+    db, calls = Warehouse(spark, "/root/testdata/sf0.001"), []
+    own = Warehouse.facts
+    monkeypatch.setattr(Warehouse, "facts", lambda self, *years, **named: calls.append(years) or own(self, *years, **named))
+    monkeypatch.setattr(Warehouse, "version", f"of this test {uuid.uuid4()}")
+    kept = [db.stored_facts, db.stored_predicted, db.stored_econ]
+    assert len(calls) == 1
+    for got, want in zip(kept, [db.monthly_tax, db.predict.select(*MONTHLY_TAX.names), db.econ], strict=True):
+        names = want.columns
+        assert sorted(map(str, got.select(names).collect())) == sorted(map(str, want.collect()))
