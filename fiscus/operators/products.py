@@ -20,8 +20,6 @@ from pyspark.ml.common import _py2java
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import LinearRegressionModel
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,7 +187,7 @@ def r2(slope: np.ndarray, level: float, rows: np.ndarray) -> float:
 
 
 def learn(train: DataFrame, labels: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], folds: int = 1) -> Products:
-    """Read the rows once for what the columns hold, once to store them by fold, and each fold once for its matrix.
+    """Read the rows once for what the columns hold, once to store them with their folds, and twice for the matrices.
 
     ``train`` should be a stored table. Rows without a label are left out, numbers that are never known too.
     Folds come from a digest of the row key, so they do not depend on how rows are spread.
@@ -213,22 +211,46 @@ def learn(train: DataFrame, labels: Sequence[str], numeric: Sequence[str], categ
     gaps = [c for c in known if found[f"n_{c}"][0] < found["rows"]]
     fold = F.lit(0).alias("fold") if folds == 1 else F.col("fold")
     wide = rows.select(*marks, *texts, *[F.col(m).cast("double").alias(f"{m}_label") for m in labels], F.lit(1.0).alias("one"), fold, *[doubles[c].alias(c) for c in gaps])
-    stages = flag_stages(spark, {c: [*levels[c], NULL] for c in categorical}, handle="error", drop_last=False) if categorical else []
-    inputs = [*[f"{c}_value" for c in known], *[f"{c}_null" for c in known], *[f"{c}_flags" for c in categorical], *[f"{m}_label" for m in labels], "one"]
-    vectors = PipelineModel([*stages, VectorAssembler(inputCols=inputs, outputCol="row")]).transform(wide)
-    stored = materialize(vectors.select("row", "fold", *gaps), "folds", "fold")
-    sums = [product_sums(stored.where(F.col("fold") == k), len(inputs)) for k in range(folds)]
-    width = max(len(s) for s in sums)
-    sums = [s if len(s) == width else np.zeros((width, width)) for s in sums]
+    stored = materialize(wide, "folds")
+    numbers = [*[f"{c}_value" for c in known], *[f"{c}_null" for c in known]]
+    sums = product_sums(stored, numbers, {c: [*levels[c], NULL] for c in categorical}, [*[f"{m}_label" for m in labels], "one"], folds)
     return Products(spark, tuple(known), tuple(categorical), tuple(labels), units, levels, sums, complement_medians(stored, gaps, folds))
 
 
-def product_sums(rows: DataFrame, least: int) -> np.ndarray:
-    """Sum of the outer products of the ``row`` vectors; nothing for no rows."""
-    if rows.isEmpty():
-        return np.zeros((least, 0))
-    plain = MLUtils.convertVectorColumnsFromML(rows.select("row"), "row")
-    return RowMatrix(plain).computeGramianMatrix().toArray()
+def product_sums(
+    rows: DataFrame, before: Sequence[str], levels: dict[str, list[str]], after: Sequence[str], folds: int
+) -> list[np.ndarray]:
+    """For each fold the sums of products of the numbers ``before``, a flag for each level, and the numbers ``after``.
+
+    Flags are never laid out. A product of two is a count, and one of a flag and a number is a sum over the
+    level's rows; both come from the sums of each combination of levels, which are few beside the rows.
+    """
+    dense = [*before, *after]
+    flags = [(c, level) for c, found in levels.items() for level in found]
+    flag_at = {flag: len(before) + i for i, flag in enumerate(flags)}
+    at = [*range(len(before)), *range(len(before) + len(flags), len(dense) + len(flags))]
+    found = [np.zeros((len(dense) + len(flags),) * 2) for _ in range(folds)]
+    pairs = [(i, j) for i in range(len(dense)) for j in range(i, len(dense))]
+    products = rows.groupBy("fold").agg(*[F.sum(F.col(dense[i]) * F.col(dense[j])) for i, j in pairs])
+    for fold, *values in products.collect():
+        for (i, j), value in zip(pairs, values, strict=True):
+            found[fold][at[i], at[j]] = found[fold][at[j], at[i]] = value
+    if not levels:
+        return found
+    names = list(levels)
+    combined = rows.groupBy("fold", *[f"{c}_text" for c in names]).agg(*[F.sum(d).alias(d) for d in dense])
+    met = F.explode(F.array(*[
+        F.struct(F.lit(a).alias("a"), F.col(f"{a}_text").alias("x"), F.lit(b).alias("b"), F.col(f"{b}_text").alias("y"))
+        for i, a in enumerate(names) for b in names[i:]
+    ]))
+    # As many rows as the matrix has places.
+    each = combined.select("fold", *dense, met.alias("met")).groupBy("fold", "met.a", "met.x", "met.b", "met.y").agg(*[F.sum(d).alias(d) for d in dense])
+    for fold, a, x, b, y, *values in each.collect():
+        i, j = flag_at[a, x], flag_at[b, y]
+        found[fold][i, j] = found[fold][j, i] = values[-1]
+        if i == j:
+            found[fold][i, at] = found[fold][at, i] = values
+    return found
 
 
 def complement_medians(stored: DataFrame, columns: Sequence[str], folds: int) -> list[dict[str, float]]:

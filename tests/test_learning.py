@@ -284,3 +284,26 @@ def test_log_target_is_cut_first(spark):
     df = spark.createDataFrame([(0.0,), (1e9,)], "income double")
     found = sorted(r[0] for r in df.select(M.log_target(F.col("income"), "income")).collect())
     assert found == [pytest.approx(math.log1p(5000)), pytest.approx(math.log1p(500000))]
+
+
+def test_sums_of_products_without_vectors(spark, monkeypatch):
+    from fiscus.operators import products
+
+    kept, own = [], products.materialize
+    monkeypatch.setattr(products, "materialize", lambda df, *named: kept.append(df.dtypes) or own(df, *named))
+    rows = [(i, 1999 + i % 3, i % 12, "abc"[i % 3], i % 7 / 2, None if i % 5 == 0 else i % 11 * 1.5, None if i % 4 == 0 else "xy"[i % 2], i * 0.25) for i in range(300)]
+    df = spark.createDataFrame(rows, "taxpayer_id long, yr int, mon int, tax_type string, u double, v double, c string, label double")
+    found = products.learn(df, ["label"], ["u", "v"], ["tax_type", "c"], 3)
+    # What is stored is plain columns, no vector a row.
+    assert len(kept) == 1 and {kind for _, kind in kept[0]} <= {"double", "string", "int"}
+
+    def number(x, name):
+        shift, unit = found.units[name]
+        return 0.0 if x is None else (x - shift) / unit
+
+    matrix = np.array([[
+        number(u, "u"), number(v, "v"), 0.0, float(v is None), *[float(t == k) for k in "abc"], 0.0,
+        *[float(c == k) for k in "xy"], float(c is None), label, 1.0,
+    ] for *_, t, u, v, c, label in rows])
+    assert len(found.folds) == 3 and all(f[-1, -1] > 0 for f in found.folds)
+    np.testing.assert_allclose(found.outside(), matrix.T @ matrix, rtol=1e-9, atol=1e-9)
