@@ -6,9 +6,7 @@ folder first; every pass then scans narrow Parquet, and a lost executor costs a
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 
 from fiscus.functions.lookups import ECON_SCENARIO
 from fiscus.functions.scalars import clip_range, season
+from fiscus.operators.boosting import fit_all, transform
 from fiscus.operators.features import (
     CATEGORICAL,
     FACT_KEY,
@@ -32,7 +31,7 @@ from fiscus.operators.features import (
 from fiscus.operators.joins import facts_with_payers, with_months
 from fiscus.operators.products import Products, learn
 from fiscus.schemas import MEASURES
-from fiscus.session import materialize, shared_folder
+from fiscus.session import materialize
 
 # Size of the boosted trees, and the strengths tried for ridge.
 TREES = 500
@@ -48,8 +47,6 @@ LOG_RANGES = {"income": (5_000.0, 500_000.0), "transactions": (0.0, 500.0)}
 
 ECON = tuple(ECON_SCENARIO)
 WEIGHT = "weight"
-#: Grouped rows in a piece of the boosted trees' input.
-ROWS_EACH = 50_000
 
 
 def training_input(
@@ -180,29 +177,12 @@ def grouped(train: DataFrame, inputs: Sequence[str], labels: Sequence[str]) -> D
 
 
 def fit_forecast(train: DataFrame, trees: int = TREES) -> PipelineModel:
-    """Boosted trees for income, transactions and tax, on grouped rows, all three at the same time.
-
-    A round is a few short jobs, so three targets fit between one another's jobs. Their lineage is cut
-    every ten rounds in the shared folder.
-    """
-    spark = train.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark, "rounds"))
+    """Boosted trees for income, transactions and tax, on grouped rows, all three at the same time."""
     prepared = Pipeline(stages=feature_stages(train, flags=False)).fit(train)
     groups = prepared.transform(grouped(train, (*CATEGORICAL, *NUMERIC), MEASURES))
     rows = materialize(groups.select(FEATURES, *MEASURES, WEIGHT), "grouped")
-    # Few rows are best in few pieces: the time of a round is that of starting its tasks.
-    pieces = max(1, math.ceil(rows.count() / ROWS_EACH))
-    if rows.rdd.getNumPartitions() > pieces:
-        rows = rows.coalesce(pieces)
     bins = bins_for(train)
-    rows.persist()
-    try:
-        with ThreadPoolExecutor(len(MEASURES)) as pool:
-            fits = [pool.submit(boosted_trees(m, trees, max_bins=bins).setWeightCol(WEIGHT).fit, rows) for m in MEASURES]
-            models = [f.result() for f in fits]
-    finally:
-        rows.unpersist()
+    models = fit_all(rows, [boosted_trees(m, trees, max_bins=bins).setWeightCol(WEIGHT) for m in MEASURES])
     return PipelineModel([*prepared.stages, *models])
 
 
@@ -337,4 +317,4 @@ def labelled_predictions(
         )
         for m in labels
     ]))
-    return model.transform(rows).select(each.alias("p")).select("p.*")
+    return transform(model, rows, list(labels)).select(each.alias("p")).select("p.*")
