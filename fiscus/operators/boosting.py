@@ -2,9 +2,10 @@
 
 MLlib runs a job for every level of every tree, and most of a round is the starting of jobs. Rows with
 the same bin in every input cannot be told apart by a tree, so they are one row here, with a mean and a
-weight. Up to ``ROWS`` of them are fitted by one task a target, which keeps some 35 bytes a row; more
-are left to MLlib, which spreads them. Bins, splits and steps are those of MLlib; of splits that are
-equally good but for rounding, the one of the first input counts.
+weight. Up to ``ROWS`` of them are fitted by one task a target, which keeps some 45 bytes a row; more
+are left to MLlib, which spreads them. Bins, splits and steps are those of MLlib. Rows that it would fit
+in one piece are added up in its order, so that even splits that differ by rounding only fall as they do
+there; of more rows, where that hangs on the order in which its pieces meet, the first input counts.
 
 To score, every bin of an input tells which leaves of a tree it leaves open, as one bit for each leaf;
 what all inputs leave open is the leaf of the row. That is a few look-ups a tree for a block of rows,
@@ -40,13 +41,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ROWS = 4_000_000
 VALUES = 1 << 18
 BINS = 1 << 12
-#: Rows in a piece of what MLlib fits.
+#: Rows in a piece of what MLlib fits, and most rows that are added up in its order.
 ROWS_EACH = 50_000
+IN_ORDER = ROWS_EACH
 #: Combinations of values that are counted at a time for each node, and rows that are worked on at a time.
 CELLS = 2048
 BLOCK = 1 << 17
 #: Shares of a gain, and of the sum of squares, below which two results differ by rounding only.
 NEAR, ROUNDING = 1e-9, 1e-14
+#: A node with less variance is not split.
+NO_SPREAD = float(np.finfo(float).eps)
 #: Most leaves of a tree that is scored by bits.
 LEAVES = 32
 #: A number whose 32 runs of five bits all differ, and the place where each of them starts.
@@ -87,13 +91,14 @@ def fit_all(rows: DataFrame, makers: Sequence[GBTRegressor]) -> list[GBTRegressi
         bins = [f"bin{i}" for i in range(size[0])]
         binned = rows.select(
             *[(bin_of(inputs[i], cuts[i]) if i in cuts else inputs[i].cast("int")).alias(b) for i, b in enumerate(bins)], *labels, weight
-        ).groupBy(*bins).agg(
-            *[(F.sum(F.col(m) * F.col(weight)) / F.sum(weight)).alias(m) for m in labels], F.sum(weight).alias(weight)
         )
-        binned = materialize(binned, "binned")
-        if binned.count() <= ROWS:
+        in_order = rows.count() <= IN_ORDER
+        if not in_order:
+            means = [(F.sum(F.col(m) * F.col(weight)) / F.sum(weight)).alias(m) for m in labels]
+            binned = materialize(binned.groupBy(*bins).agg(*means, F.sum(weight).alias(weight)), "binned")
+        if in_order or binned.count() <= ROWS:
             with ThreadPoolExecutor(len(makers)) as pool:
-                return list(pool.map(lambda m: fit_in_task(binned, bins, cuts, widths, m), makers))
+                return list(pool.map(lambda m: fit_in_task(binned, bins, cuts, widths, m, in_order), makers))
     return fit_spread(rows, makers)
 
 
@@ -157,16 +162,16 @@ def bin_of(value: Column, cuts: Sequence[float]) -> Column:
 
 
 def fit_in_task(
-    binned: DataFrame, bins: Sequence[str], cuts: dict[int, list[float]], widths: dict[int, int], maker: GBTRegressor
+    binned: DataFrame, bins: Sequence[str], cuts: dict[int, list[float]], widths: dict[int, int], maker: GBTRegressor, in_order: bool
 ) -> GBTRegressionModel:
     """All rounds in one task, which stores the nodes of the trees where MLlib loads them from."""
     spark, label, weight = binned.sparkSession, maker.getLabelCol(), maker.getWeightCol()
     rounds, depth, step = maker.getMaxIter(), maker.getMaxDepth(), maker.getStepSize()
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        boost = Boost(batches, len(bins), cuts, widths, depth)
+        boost = Boost(batches, len(bins), cuts, widths, depth, in_order)
         for k in range(rounds):
-            found = boost.tree(first=k == 0, step=1.0 if k == 0 else step)
+            found = boost.tree(1.0 if k == 0 else step)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int32()), pa.array(found, _NODE)], ["treeID", "nodeData"])
 
     path = shared_folder(spark, "trees")
@@ -306,23 +311,27 @@ class Boost:
     """The rows of a target and what is left of it after the trees so far."""
 
     def __init__(
-        self, batches: Iterator[pa.RecordBatch], inputs: int, cuts: dict[int, list[float]], widths: dict[int, int], depth: int
+        self, batches: Iterator[pa.RecordBatch], inputs: int, cuts: dict[int, list[float]], widths: dict[int, int], depth: int,
+        in_order: bool,
     ):
-        """``batches``: the bin of each input, the target and the weight, which is a whole number."""
-        self.cuts, self.widths, self.depth = cuts, widths, depth
+        """``batches``: the bin of each input, the target and the weight, which is a whole number.
+
+        ``in_order``: sums are taken row by row as the rows come, for each input alone.
+        """
+        self.cuts, self.widths, self.depth, self.in_order = cuts, widths, depth, in_order
         self.sizes = [widths[i] if i in widths else len(cuts[i]) + 1 for i in range(inputs)]
-        self.packs = packs(self.sizes)
+        self.packs = [[f] for f in range(inputs)] if in_order else packs(self.sizes)
         parts = [[*self.coded(batch), batch.column(inputs).to_numpy(), batch.column(inputs + 1).to_numpy()] for batch in batches]
         *codes, label, weight = (np.concatenate(p) for p in zip(*parts))
         del parts
-        # In the order of their bins, so that sums do not depend on the order in which rows come.
-        order = np.lexsort(codes)
-        self.codes = [c[order] for c in codes]
-        self.weight = weight[order].astype(float)
-        self.left = label[order].astype(float)
-        self.level = float(self.weight @ self.left / self.weight.sum())
-        self.left -= self.level
-        self.pull = self.weight * self.left
+        if not in_order:
+            # By their bins, so that sums do not depend on the order in which rows come.
+            order = np.lexsort(codes)
+            codes, label, weight = [c[order] for c in codes], label[order], weight[order]
+        self.codes, self.label, self.weight = codes, label.astype(float), weight.astype(float)
+        #: What the next tree is fitted to, and the sum of the trees so far.
+        self.goal, self.guess = self.label.copy(), np.zeros(len(label))
+        self.block = max(1, len(label)) if in_order else BLOCK
         self.slot = np.zeros(len(label), np.uint8 if depth <= 8 else np.int32)
         widest = max(self.sizes)
         self.own = np.arange(widest)
@@ -351,8 +360,8 @@ class Boost:
 
     def blocks(self, routes: Sequence[tuple[int, np.ndarray]]) -> Iterator[tuple[slice, np.ndarray]]:
         """Rows of a block and the slot of each, after they went left or right by ``routes``."""
-        for start in range(0, len(self.left), BLOCK):
-            rows = slice(start, start + BLOCK)
+        for start in range(0, len(self.label), self.block):
+            rows = slice(start, start + self.block)
             slot = self.slot[rows].astype(np.int64)
             if routes:
                 right = np.zeros(len(slot), np.uint8)
@@ -365,22 +374,25 @@ class Boost:
                 self.slot[rows] = slot
             yield rows, slot
 
-    def sums(self, slots: int, routes: Sequence[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """Weights and weighted rests of each slot, input and bin."""
+    def sums(self, slots: int, routes: Sequence[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weights, weighted targets and their weighted squares of each slot, input and bin."""
         sizes = [slots * self.cells(pack) for pack in self.packs]
-        pulls = [np.zeros(n) for n in sizes]
         known = self.at_root if slots == 1 else None
-        weights = known or [np.zeros(n) for n in sizes]
+        weights, pulls, squares = known or [np.zeros(n) for n in sizes], [np.zeros(n) for n in sizes], [np.zeros(n) for n in sizes]
         for rows, slot in self.blocks(routes):
+            weight, goal = self.weight[rows], self.goal[rows]
+            pull = weight * goal
+            square = pull * goal
             for p, pack in enumerate(self.packs):
                 at = slot * self.cells(pack)
                 at += self.codes[p][rows]
-                pulls[p] += np.bincount(at, self.pull[rows], sizes[p])
+                pulls[p] += np.bincount(at, pull, sizes[p])
+                squares[p] += np.bincount(at, square, sizes[p])
                 if not known:
-                    weights[p] += np.bincount(at, self.weight[rows], sizes[p])
+                    weights[p] += np.bincount(at, weight, sizes[p])
         if slots == 1:
             self.at_root = weights
-        return self.by_input(weights, slots), self.by_input(pulls, slots)
+        return self.by_input(weights, slots), self.by_input(pulls, slots), self.by_input(squares, slots)
 
     def by_input(self, sums: Sequence[np.ndarray], slots: int) -> np.ndarray:
         found = np.zeros((slots, len(self.sizes), len(self.own)))
@@ -390,40 +402,41 @@ class Boost:
                 found[:, f, :self.sizes[f]] = cube.sum(tuple(j + 1 for j in range(len(pack)) if j != k))
         return found
 
-    def tree(self, first: bool, step: float) -> list[dict]:
-        """The next tree, whose part ``step`` is taken off the rests; the nodes as MLlib stores them."""
-        squares = float(self.pull @ self.left)
-        nodes = [{"weight": self.weight.sum(), "pull": self.pull.sum()}]
+    def tree(self, step: float) -> list[dict]:
+        """The next tree, whose share ``step`` is added to the guesses; the nodes as MLlib stores them."""
+        nodes: list[dict] = [{}]
         owners: list[int | None] = [0]
         routes: list[tuple[int, np.ndarray]] = []
         grown = 0
         for level in range(self.depth):
-            weights, pulls = self.sums(1 << level, routes)
-            splits = best_splits(weights, pulls, self.is_category, self.own, ROUNDING * squares)
-            routes, owners, split = self.divide(nodes, owners, splits)
+            sums = self.sums(1 << level, routes)
+            if level == 0:
+                nodes[0] = {"sums": whole(*(x[0] for x in sums), self.sizes)}
+                noise = 0.0 if self.in_order else ROUNDING * float(nodes[0]["sums"][2])
+            spread = np.array([np.nan if n is None else variance(*nodes[n]["sums"]) for n in owners])
+            routes, owners = self.divide(nodes, owners, best_splits(*sums, spread, self.is_category, self.own, noise), level)
             grown = level + 1
-            if not split:
+            if not routes:
                 break
         slots = 1 << grown
-        rest, many = np.zeros(slots), np.zeros(slots, np.int64)
-        values = np.array([0.0 if n is None else nodes[n]["pull"] / nodes[n]["weight"] for n in owners])
+        many = np.zeros(slots, np.int64)
+        values = np.array([0.0 if n is None else nodes[n]["sums"][1] / nodes[n]["sums"][0] for n in owners])
         for rows, slot in self.blocks(routes or [(0, np.zeros(slots * self.cells(self.packs[0]), np.uint8))]):
-            rest += np.bincount(slot, self.pull[rows] * self.left[rows], slots)
             many += np.bincount(slot, minlength=slots)
-            self.left[rows] -= step * values.take(slot) * (1.0 if first else 2.0)
-            self.pull[rows] = self.weight[rows] * self.left[rows]
+            self.guess[rows] += values.take(slot) * step
+            self.goal[rows] = 2.0 * (self.label[rows] - self.guess[rows])
         self.slot[:] = 0
-        for n, q, k in zip(owners, rest, many):
+        for n, k in zip(owners, many):
             if n is not None:
-                nodes[n] |= {"squares": q, "rows": int(k)}
-        return self.stored(nodes, first)
+                nodes[n]["rows"] = int(k)
+        return self.stored(nodes)
 
-    def divide(self, nodes: list[dict], owners: list[int | None], splits) -> tuple[list[tuple[int, np.ndarray]], list[int | None], bool]:
+    def divide(self, nodes: list[dict], owners: list[int | None], splits, level: int) -> tuple[list[tuple[int, np.ndarray]], list[int | None]]:
         """Splits the nodes of a level: who goes right, by pack and cell, and the nodes of the next slots.
 
         What is not split goes left as it is.
         """
-        inputs, places, orders, gains, lefts = splits
+        inputs, places, orders, gains, lefts, rights = splits
         tables: dict[int, np.ndarray] = {}
         following: list[int | None] = []
         for j, n in enumerate(owners):
@@ -439,33 +452,27 @@ class Boost:
             cells = self.cells(self.packs[p])
             table = tables.setdefault(p, np.zeros(len(owners) * cells, np.uint8))
             table[j * cells:(j + 1) * cells] = goes[self.bin_in[f]]
-            weight, pull = lefts[j]
             nodes[n] |= {
                 "gain": gains[j], "input": f, "place": place, "chosen": orders[j][:place + 1].tolist(),
                 "children": (len(nodes), len(nodes) + 1),
             }
             following += [len(nodes), len(nodes) + 1]
-            nodes += [{"weight": weight, "pull": pull}, {"weight": nodes[n]["weight"] - weight, "pull": nodes[n]["pull"] - pull}]
-        return list(tables.items()), following, bool(tables)
+            for sums in (lefts[j], rights[j]):
+                nodes.append({"sums": sums} | ({"leaf": True} if abs(variance(*sums)) < NO_SPREAD else {}))
+        return list(tables.items()), following
 
-    def stored(self, nodes: list[dict], first: bool) -> list[dict]:
-        """The nodes from the root down, left before right; two leaves that predict the same are one.
-
-        The first tree is fitted to the target itself, the others to the slope of the squared error, twice the rest.
-        """
+    def stored(self, nodes: list[dict]) -> list[dict]:
+        """The nodes from the root down, left before right; two leaves that predict the same are one."""
         for node in reversed(nodes):
             if "children" in node:
-                a, b = (nodes[c] for c in node["children"])
-                node |= {"squares": a["squares"] + b["squares"], "rows": a["rows"] + b["rows"]}
+                node["rows"] = sum(nodes[c]["rows"] for c in node["children"])
         found: list[dict] = []
-        level, unit = (self.level, 1.0) if first else (0.0, 2.0)
 
         def add(n: int) -> int:
             node, here = nodes[n], len(found)
-            w, s, q = node["weight"], node["pull"], node["squares"]
+            w, s, q = map(float, node["sums"])
             told = {
-                "id": here, "prediction": unit * (s / w + level), "impurity": max(0.0, unit**2 * (q - s * s / w) / w),
-                "impurityStats": [w, unit * (s + level * w), unit**2 * (q + 2 * level * s + level**2 * w)],
+                "id": here, "prediction": s / w, "impurity": variance(w, s, q), "impurityStats": [w, s, q],
                 "rawCount": node["rows"], "gain": -1.0, "leftChild": -1, "rightChild": -1,
                 "split": {"featureIndex": -1, "leftCategoriesOrThreshold": [], "numCategories": -1},
             }
@@ -480,7 +487,7 @@ class Boost:
                 f = node["input"]
                 category = f in self.widths
                 told |= {
-                    "gain": unit**2 * node["gain"] / w, "leftChild": left, "rightChild": right,
+                    "gain": node["gain"], "leftChild": left, "rightChild": right,
                     "split": {
                         "featureIndex": f,
                         "leftCategoriesOrThreshold": [float(c) for c in node["chosen"]] if category else [self.cuts[f][node["place"]]],
@@ -493,6 +500,16 @@ class Boost:
         return found
 
 
+def variance(weight: float, pull: float, square: float) -> float:
+    return (square - pull * pull / weight) / weight
+
+
+def whole(weights: np.ndarray, pulls: np.ndarray, squares: np.ndarray, sizes: Sequence[int]) -> np.ndarray:
+    """Sums of the root, put together from both sides of the first split, as MLlib has them."""
+    f = next((f for f, n in enumerate(sizes) if n > 1), 0)
+    return np.array([x[f, 0] + (x[f].cumsum()[-1] - x[f, 0]) for x in (weights, pulls, squares)])
+
+
 def packs(sizes: Sequence[int]) -> list[list[int]]:
     """Inputs that are counted together, as one of few combinations each."""
     found: list[list[int]] = []
@@ -506,11 +523,13 @@ def packs(sizes: Sequence[int]) -> list[list[int]]:
     return found
 
 
-def best_splits(weights: np.ndarray, pulls: np.ndarray, is_category: np.ndarray, own: np.ndarray, noise: float):
-    """Input, place, order of the bins, gain and sums to the left of the best split of each slot.
+def best_splits(
+    weights: np.ndarray, pulls: np.ndarray, squares: np.ndarray, spread: np.ndarray, is_category: np.ndarray, own: np.ndarray, noise: float
+):
+    """Input, place, order of the bins, gain and sums on both sides of the best split of each slot.
 
     A number is cut between bins, a category between its values in order of their means, those without rows last.
-    Of splits that differ by rounding the first counts; a gain that may be rounding is none.
+    Of splits that differ by rounding the first counts, and a gain that may be rounding is none, if there is ``noise``.
     """
     slots, inputs, bins = weights.shape
     order = np.broadcast_to(own, weights.shape).copy()
@@ -518,14 +537,16 @@ def best_splits(weights: np.ndarray, pulls: np.ndarray, is_category: np.ndarray,
         if is_category.any():
             w = weights[:, is_category]
             order[:, is_category] = np.argsort(np.where(w > 0, pulls[:, is_category] / w, np.inf), axis=2, kind="stable")
-        w = np.take_along_axis(weights, order, 2).cumsum(2)
-        s = np.take_along_axis(pulls, order, 2).cumsum(2)
-        rest_w, rest_s = w[:, :, -1:] - w, s[:, :, -1:] - s
-        score = np.where((w > 0) & (rest_w > 0), s * s / w + rest_s * rest_s / rest_w, -np.inf).reshape(slots, -1)
-        whole = pulls[:, 0].sum(1) ** 2 / weights[:, 0].sum(1)
-        gain = score.max(1) - whole
-        at = (score >= (score.max(1) - NEAR * np.maximum(gain, 0) - noise)[:, None]).argmax(1)
-    gain = np.where(np.isfinite(gain) & (gain > noise), gain, 0.0)
-    f, place = at // bins, at % bins
+        left = [np.take_along_axis(x, order, 2).cumsum(2) for x in (weights, pulls, squares)]
+        right = [x[:, :, -1:] - x for x in left]
+        total = left[0] + right[0]
+        gain = spread[:, None, None] - left[0] / total * variance(*left) - right[0] / total * variance(*right)
+        gain = np.where((left[0] > 0) & (right[0] > 0) & (gain >= 0), gain, -np.inf).reshape(slots, -1)
+        best = gain.max(1)
+        least = noise / weights[:, 0].sum(1)
+        near = (NEAR * np.maximum(best, 0) + least) if noise else 0.0
+        at = (gain >= (best - near)[:, None]).argmax(1)
     j = np.arange(slots)
-    return f, place, order[j, f], gain, np.stack([w[j, f, place], s[j, f, place]], 1)
+    found = np.where(np.isfinite(best) & (best > least), gain[j, at], 0.0)
+    f, place = at // bins, at % bins
+    return f, place, order[j, f], found, *(np.stack([x[j, f, place] for x in side], 1) for side in (left, right))

@@ -41,6 +41,12 @@ def predicted(models, rows):
     return np.array(rows.select(*[m.getPredictionCol() for m in models]).collect())
 
 
+@pytest.fixture(params=["in order", "by bins"])
+def way(request, monkeypatch):
+    if request.param == "by bins":
+        monkeypatch.setattr(B, "IN_ORDER", 0)
+
+
 def jobs(spark):
     return spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
 
@@ -59,7 +65,7 @@ def test_a_round_takes_no_job(spark, rows):
     assert [len(m.trees) for m in model.stages[-3:]] == [12, 12, 12]
 
 
-def test_trees_are_those_of_mllib(ready):
+def test_trees_are_those_of_mllib(ready, way):
     _, rows = ready
     found, known = B.fit_all(rows, makers(8)), B.fit_spread(rows, makers(8))
     np.testing.assert_allclose(predicted(found, rows), predicted(known, rows), rtol=1e-9)
@@ -69,13 +75,14 @@ def test_trees_are_those_of_mllib(ready):
         assert a.extractParamMap() and a.getMaxIter() == b.getMaxIter() and a.getLabelCol() == b.getLabelCol()
 
 
-def test_pieces_and_order_do_not_matter(ready):
+def test_pieces_and_order_do_not_matter(ready, monkeypatch):
     _, rows = ready
+    monkeypatch.setattr(B, "IN_ORDER", 0)
     one, many = B.fit_all(rows, makers(6)), B.fit_all(M.materialize(rows.repartition(7, "income"), "dealt"), makers(6))
     np.testing.assert_allclose(predicted(one, rows), predicted(many, rows), rtol=1e-12)
 
 
-def test_equal_splits_take_the_first_input(spark):
+def test_equal_splits_take_the_first_input(spark, way):
     rows = spark.createDataFrame([(float(i), float(i * 10), float(i > 3), 1.0) for i in range(8)], "a double, b double, income double, weight double")
     prepared = Pipeline(stages=X.feature_stages(rows, [], ["a", "b"], flags=False)).fit(rows)
     maker = M.boosted_trees("income", 3).setWeightCol(M.WEIGHT)
@@ -84,12 +91,26 @@ def test_equal_splits_take_the_first_input(spark):
     assert model.trees[0].numNodes == 3  # what is left is nothing
 
 
+def test_equal_splits_fall_as_in_mllib(spark):
+    # The second input is the first in other words, and the third says the same of most rows.
+    rng = random.Random(9)
+    rows = spark.createDataFrame([
+        (i % 12, f"q{i % 12 // 3}", "xyz"[i % 12 // 4] if i % 50 else "z", rng.gauss(50, 9), rng.random() * 3, float(rng.randrange(1, 9)))
+        for i in range(400)
+    ], "mon int, quarter string, third string, income double, tax double, weight double")
+    prepared = Pipeline(stages=X.feature_stages(rows, ["quarter", "third"], ["mon"], flags=False)).fit(rows)
+    stored = M.materialize(prepared.transform(rows).select(X.FEATURES, "income", "tax", M.WEIGHT).coalesce(1), "ties")
+    for a, b in zip(B.fit_all(stored, makers(25)), B.fit_spread(stored, makers(25))):
+        assert a.toDebugString.split("\n")[1:] == b.toDebugString.split("\n")[1:]
+
+
 def test_rows_beyond_one_task_are_left_to_mllib(ready, monkeypatch):
     _, rows = ready
     whole = predicted(B.fit_all(rows, makers(3)), rows)
     for name in ("ROWS", "VALUES", "BINS"):
         with monkeypatch.context() as m:
             m.setattr(B, name, 10)
+            m.setattr(B, "IN_ORDER", 0)
             m.setattr(B, "fit_in_task", None)
             np.testing.assert_allclose(predicted(B.fit_all(rows, makers(3)), rows), whole, rtol=1e-9)
 
